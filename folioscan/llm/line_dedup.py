@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import NO_ID, WORD, let, table
 
 LEAST = 50  # words in a run
+FEW = 6  # lines in which most windows end; longer ones are looked for apart
 
 
 def lines_of(text: Column) -> Column:
@@ -31,7 +32,9 @@ def windows(lines: Column, least: int) -> Column:
     def at(all_: Column, i: Column) -> Column:
         start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"))
         step = lambda a, x: F.when(a.n < least, F.struct((a.n + x.n).alias("n"), (a.size + 1).alias("size"))).otherwise(a)
-        size = F.aggregate(F.slice(all_, i, F.lit(least)), start, step, lambda a: F.when(a.n >= least, a.size))
+        within = lambda k: F.aggregate(F.slice(all_, i, F.lit(k)), start, step, lambda a: F.when(a.n >= least, a.size))
+        # a line has a word at least, so `least` lines are enough; most windows end within the first few
+        size = F.coalesce(within(min(FEW, least)), within(least))
         made = lambda k: let(F.transform(F.slice(all_, i, k), lambda x: x.h), lambda hs: F.struct(F.array_min(hs).alias("m"), F.xxhash64(hs).alias("h"), (i - 1).alias("start"), k.alias("size")))
         return let(size, lambda k: F.when(k.isNotNull(), made(k)))
 
@@ -66,8 +69,8 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     # numbers of the lines with a word, by their place among all lines: both lists are sorted, so a map by place stays linear
     places = let(numbered, lambda xs: F.filter(F.transform(xs, lambda x, i: F.when(has(x), i)), lambda i: i.isNotNull()))
     bad = let(places, lambda p: F.transform(F.col("_gone"), lambda g: F.get(p, g)))
-    marks = lambda n, b: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains(b, i))
-    new = let(numbered, lambda xs: let(bad, lambda b: let(marks(F.size(xs), b), lambda m: F.array_join(F.filter(F.zip_with(xs, m, lambda x, y: F.when(~y, x)), lambda x: x.isNotNull()), "\n"))))
+    stay = lambda n, b: F.array_except(F.sequence(F.lit(0), n - 1), b)
+    new = let(numbered, lambda xs: let(bad, lambda b: F.array_join(F.transform(stay(F.size(xs), b), lambda i: F.get(xs, i)), "\n")))
     out = keyed.join(gone, ["_id", "_t"], "left")
     out = out.withColumn("_new", F.when(F.col("_gone").isNull(), text).otherwise(new))
     n = F.coalesce(F.size(F.filter(F.split(text, "\n", -1), has)), F.lit(0)).cast("long")
