@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WORD, let, table
+from .common import NO_ID, WORD, checkpoint, let, table
 
 LEAST = 50  # words in a run
 FEW = 6  # lines in which most windows end; longer ones are looked for apart
@@ -26,8 +26,8 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), one), lambda x: x.n > 0)
 
 
-def windows(lines: Column, least: int) -> Column:
-    """array of (m, h, start, size): the window of each line on from it, 0-based; those that end before `least` words are left out."""
+def spans(lines: Column, least: int) -> Column:
+    """array of (start, size): the window of each line on from it, 0-based; those that end before `least` words are left out."""
 
     def at(all_: Column, i: Column) -> Column:
         start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"))
@@ -35,30 +35,34 @@ def windows(lines: Column, least: int) -> Column:
         within = lambda k: F.aggregate(F.slice(all_, i, F.lit(k)), start, step, lambda a: F.when(a.n >= least, a.size))
         # a line has a word at least, so `least` lines are enough; most windows end within the first few
         size = F.coalesce(within(min(FEW, least)), within(least))
-        made = lambda k: let(F.transform(F.slice(all_, i, k), lambda x: x.h), lambda hs: F.struct(F.array_min(hs).alias("m"), F.xxhash64(hs).alias("h"), (i - 1).alias("start"), k.alias("size")))
-        return let(size, lambda k: F.when(k.isNotNull(), made(k)))
+        return F.struct((i - 1).alias("start"), size.alias("size"))
 
-    of = lambda x: F.filter(F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: at(x, i)), lambda y: y.isNotNull())
-    none = F.lit(None)
-    return let(lines, lambda x: F.when(F.size(x) > 0, of(x)).otherwise(none))
+    return F.filter(F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: at(lines, i)), lambda y: y["size"].isNotNull())
 
 
 def both_ways(text: Column, least: int) -> Column:
+    """array of (m, h, start, size): each window on from a line or back from one, once."""
+
+    def hashed(x: Column, s: Column) -> Column:
+        made = lambda hs: F.struct(F.array_min(hs).alias("m"), F.xxhash64(hs).alias("h"), s.start.alias("start"), s["size"].alias("size"))
+        return let(F.transform(F.slice(x, s.start + 1, s["size"]), lambda y: y.h), made)
+
     def build(x: Column) -> Column:
-        back = F.transform(windows(F.reverse(x), least), lambda w: F.struct(w.m, w.h, (F.size(x) - w.start - w.size).alias("start"), w.size.alias("size"), F.lit(1).alias("way")))
-        on = F.transform(windows(x, least), lambda w: F.struct(w.m, w.h, w.start, w.size, F.lit(0).alias("way")))
-        return F.concat(on, back)
+        back = F.transform(spans(F.reverse(x), least), lambda s: F.struct((F.size(x) - s.start - s["size"]).alias("start"), s["size"].alias("size")))
+        return F.transform(F.array_distinct(F.concat(spans(x, least), back)), lambda s: hashed(x, s))
 
-    return let(lines_of(text), build)
+    return let(lines_of(text), lambda x: F.when(F.size(x) > 0, build(x)))
 
 
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs with their text after deletion, n_chars anew, and n_lines and n_removed."""
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    spots = keyed.select("_id", "_t", F.explode(both_ways(F.col("text"), least)).alias("w")).select("_id", "_t", "w.*")
+    # explode would have the windows made again for filters on their number; explode_outer doesn't
+    spots = keyed.select("_id", "_t", F.explode_outer(both_ways(F.col("text"), least)).alias("w")).where("w IS NOT NULL")
+    spots = checkpoint(spots.select("_id", "_t", "w.*"))
     place = F.struct("_id", "_t", "start")
-    first = spots.groupBy("m", "h", "way").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
-    later = spots.join(first, ["m", "h", "way"]).where(place != F.col("first"))
+    first = spots.groupBy("m", "h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
+    later = spots.join(first, ["m", "h"]).where(place != F.col("first"))
     gone = later.select("_id", "_t", "start", "size").groupBy("_id", "_t").agg(F.collect_set(F.struct("start", "size")).alias("_gone"))
     covered = lambda g: F.array_distinct(F.flatten(F.transform(g, lambda s: F.sequence(s.start, s.start + s["size"] - 1))))
     gone = gone.select("_id", "_t", covered(F.col("_gone")).alias("_gone"))
