@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, delete, table, written
 
 WIDTH, NUM, DEN, CLASSES, KEPT = 5, 75, 100, 1 << 18, 300_000
 _known: dict[bytes, int] = {}
@@ -53,12 +53,16 @@ def classes_of(docs: DataFrame) -> np.ndarray:
     """How many documents' shingles are in each hash class: at most 2**18 numbers, whatever the input."""
 
     def run(batches):
-        n = np.zeros(CLASSES, np.int64)
+        n, held, size = np.zeros(CLASSES, np.int64), [], 0
         for b in batches:
             for x in b.column("text").to_pylist():
-                n += np.bincount(shingles(x) & (CLASSES - 1), minlength=CLASSES) if x and len(x) > 50_000 else 0
-                if x and len(x) <= 50_000:
-                    np.add.at(n, shingles(x) & (CLASSES - 1), 1)
+                held.append(shingles(x) & (CLASSES - 1))
+                size += len(held[-1])
+                if size > 1 << 20:
+                    n += np.bincount(np.concatenate(held), minlength=CLASSES)
+                    held, size = [], 0
+        if held:
+            n += np.bincount(np.concatenate(held), minlength=CLASSES)
         at = np.flatnonzero(n)
         for i in range(0, len(at), 65536):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 65536].astype(np.int32)), pa.array(n[at[i : i + 65536]])], ["c", "n"])
@@ -82,7 +86,7 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 sizes.append(len(s))
                 sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
                 keep = len(s) - -(-NUM * len(s) // DEN) + 1 if len(s) else 0
-                firsts.append(s[np.lexsort((s, n[s & (CLASSES - 1)]))[:keep]])
+                firsts.append(s[np.argsort(n[s & (CLASSES - 1)], kind="stable")[:keep]])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "sig", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -138,23 +142,29 @@ def components(edges: DataFrame) -> DataFrame:
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = checkpoint(prefixes(docs, classes_of(docs)))
+    spark = docs.sparkSession
+    every, _ = written(prefixes(docs, classes_of(docs)))
     heads = every.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     sets = every.select("doc_id", "n_shingles", "prefix").join(heads.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     spots = sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("p", "h"))
-    heart = spots.groupBy("h").agg(F.min(F.struct("n", "id", "p")).alias("x"), F.count("*").alias("k")).where("k > 1").select("h", "x.*")
+    heart = spots.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
     pair = lambda x, y: [F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")]
-    shared = checkpoint(spots.join(heart.select("h"), "h"))
+    shared, shared_path = written(spots.join(heart.select("h"), "h"))
+    # by now only the few prefix shingles that two sets share are left
+    heart = shared.groupBy("h").agg(F.min(F.struct("n", "id", "p")).alias("x")).select("h", "x.*")
     first = shared.alias("s").join(heart.alias("x"), (F.col("s.h") == F.col("x.h")) & (F.col("s.id") != F.col("x.id")) & possible("s", "x")).select(*pair("s", "x")).distinct()
+    first = checkpoint(first)
     links = checkpoint(verified(first, docs))
     part = components(links)
     tagged = shared.join(part.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     mixed = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    open_ = checkpoint(tagged.join(mixed, "h"))
+    open_, open_path = written(tagged.join(mixed, "h"))
+    delete(spark, shared_path)
     # the shorter first; those already joined don't meet again
     meet = (F.col("s.h") == F.col("t.h")) & (F.col("s.c") != F.col("t.c")) & (F.struct("s.n", "s.id") < F.struct("t.n", "t.id")) & possible("s", "t")
     more = open_.alias("s").join(open_.alias("t"), meet).select(*pair("s", "t")).distinct()
     second = checkpoint(verified(more.join(first, ["a", "b"], "left_anti"), docs))
+    delete(spark, open_path)
     whole = components(links.unionByName(second))
     of = heads.join(whole.withColumnRenamed("v", "rep"), "rep", "left").select("sig", F.coalesce("c", "rep").alias("class_id"))
     return every.join(of, "sig", "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id")).alias("component_id"))
