@@ -6,7 +6,8 @@ the highest quotients target / (2 a + 1), and within a source likewise to its sh
 A shard's documents stand in an order seeded by a hash, and its blocks are taken from that order's start, around
 again where the quota exceeds the shard. So a document is taken whole a number of times, and once more in part.
 No document exceeds three times its size, for a shard's quota stops there. Null or empty texts have size 0 and give 0.
-An empty table gives an empty result; equal rows are treated alike but for their place in the order.
+An empty table gives an empty result; equal rows are treated alike but for their place in the order. Shard and place come from a
+hash of the whole row, so rows that share a doc_id or have none are spread and decided one by one.
 """
 from __future__ import annotations
 
@@ -59,31 +60,32 @@ def apportion(parts: DataFrame, votes: str, seats: str, within: list[str], keys:
     return joined.select(*[F.col(f"p.{c}") for c in parts.columns], (F.col("p._sure") + F.coalesce("w._won", F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, full (whole times) and part (words of the last time, from the text's `start`-th on)."""
+def mix(docs: DataFrame, *carried: Column) -> DataFrame:
+    """doc_id, source, the `carried` columns, size, source_size, target and taken (words): a row for each of docs."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = docs.select("doc_id", "source", size.alias("size"))
+    sizes = docs.select("doc_id", "source", *carried, size.alias("size"), F.xxhash64(*docs.columns).alias("_hash"))
     by_source = targets(sizes)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / F.greatest(F.lit(LEAST_SHARD), F.sum("n_rows").over(Window.partitionBy()) / F.lit(4 * n))).cast("int"))
     few = by_source.withColumn("shards", shards).withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy()) / BLOCK).cast("long")).withColumn("one", F.lit(1))
     few = apportion(few, "target", "blocks", ["one"], ["source"]).withColumnRenamed("quota", "source_quota")
     # as many rows as sources: a handful, whatever the input
-    few = few.select(F.col("source").alias("_source"), "source_size", "target", "shards", "source_quota")
+    few = few.select(F.col("source").alias("_source"), F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).alias("_no"), "source_size", "target", "shards", "source_quota")
     own = sizes.join(F.broadcast(few), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    order = F.xxhash64("doc_id", "size", F.lit(SEED))
-    own = own.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.col("shards")).cast("int"))
-    per = own.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
-    quotas = apportion(per.where("shard_size > 0"), "shard_size", "source_quota", ["source"], ["shard"])
-    quotas = quotas.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", F.least(F.col("quota") * BLOCK, F.col("shard_size") * CAP).alias("words"))
-    w = Window.partitionBy("source", "shard").orderBy(order, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("shard", F.pmod(F.xxhash64("_hash", F.lit(SEED + 1)), F.col("shards")).cast("int"))
+    per = own.groupBy("_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
+    quotas = apportion(per.where("shard_size > 0"), "shard_size", "source_quota", ["_no"], ["shard"])
+    quotas = quotas.select("_no", "shard", "shard_size", F.least(F.col("quota") * BLOCK, F.col("shard_size") * CAP).alias("words"))
+    w = Window.partitionBy("_no", "shard").orderBy(F.xxhash64("_hash", F.lit(SEED)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     own = own.withColumn("at", F.coalesce(F.sum("size").over(w), F.lit(0)))
-    own = own.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")), "left")
+    # no source number or shard is null, so the join finds the rows dealt as the window wants them
+    own = own.join(quotas, ["_no", "shard"], "left")
     whole = F.coalesce(F.floor(F.col("words") / F.col("shard_size")), F.lit(0)).cast("long")
     left = F.coalesce(F.col("words") % F.col("shard_size"), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("at"))).cast("long")
-    return own.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).alias("taken"))
+    kept = sizes.columns[: 2 + len(carried)]
+    return own.select(*kept, "size", "source_size", "target", (whole * F.col("size") + part).alias("taken"))
 
 
 def first_words(text: Column, n: Column) -> Column:
