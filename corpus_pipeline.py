@@ -24,7 +24,7 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each component; empty texts link with nothing and stay."""
+    """One row of each component, that of least doc_id; empty texts link with nothing and stay."""
     return ngram_join.keep_one(docs)
 
 

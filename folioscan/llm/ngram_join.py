@@ -1,12 +1,12 @@
 """Similarity join of documents on five-word shingles, Jaccard 0.75 or more, and the components of its links.
 
-Exact copies of a shingle set form a class, and its least doc_id stands for it. Shingles are ordered rare first by counts in 2**18 hash
+Exact copies of a shingle set form a class, and its row of least doc_id stands for it. Shingles are ordered rare first by counts in 2**18 hash
 classes over all documents (any one order is exact; the counts make prefixes rare), and each class emits its prefix. First every
 prefix shingle's members meet its shortest set, which joins groups of near copies without pairing them; then only members of
 different components meet. Pairs pass length and positional filters in the join and a suffix filter by hash class before they are
 verified, once each. Shingles are compared by 64-bit hashes of their words' 64-bit hashes. A text of one to four words
-is one shingle; an empty or null one has none and links with nothing. Rows of equal doc_id should have equal texts; a null doc_id is left out
-of links.
+is one shingle; an empty or null one has none and links with nothing. Rows are told apart by a 64-bit hash of their columns, so rows of equal
+doc_id can have other texts; in op10 a row without doc_id is left out of links, in keep_one it is not.
 """
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, delete, table, written
+from .common import WORD, checkpoint, delete, table, written
 
 WIDTH, NUM, DEN, CLASSES, KEPT = 5, 75, 100, 1 << 18, 300_000
 _known: dict[bytes, int] = {}
@@ -87,10 +87,10 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
                 keep = len(s) - -(-NUM * len(s) // DEN) + 1 if len(s) else 0
                 firsts.append(s[np.argsort(n[s & (CLASSES - 1)], kind="stable")[:keep]])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "k", "n_shingles", "sig", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, sig binary, prefix array<long>")
+    return docs.select("doc_id", "k", "text").mapInArrow(run, f"doc_id {kind}, k long, n_shingles long, sig binary, prefix array<long>")
 
 
 def possible(a: str, b: str) -> Column:
@@ -101,7 +101,7 @@ def possible(a: str, b: str) -> Column:
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough; each pair's texts are read once more."""
+    """The pairs (a, b) of keys whose sets are alike enough; each pair's texts are read once more."""
 
     def run(batches):
         for b in batches:
@@ -117,8 +117,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"])
             yield out.filter(pa.array(good, pa.bool_()))
 
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").dropDuplicates(["doc_id"])
-    full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    texts = docs.select("k", "text").dropDuplicates(["k"])
+    full = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -139,14 +139,21 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and k, by which rows are told apart; only rows that are equal in all columns share it."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(*docs.columns).alias("k"))
+
+
+def grouped(docs: DataFrame, unnamed: bool) -> tuple[DataFrame, DataFrame]:
+    """Of keyed docs: every row's doc_id, k, n_shingles, sig; and sig, best (doc_id and k of its component's first row).
+
+    Rows without doc_id are linked, after all others, if `unnamed`."""
     spark = docs.sparkSession
     every, _ = written(prefixes(docs, classes_of(docs)))
-    heads = every.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    sets = every.select("doc_id", "n_shingles", "prefix").join(heads.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    spots = sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("p", "h"))
+    first_of = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")
+    heads = every.where("n_shingles > 0" if unnamed else "n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min(first_of).alias("head")).select("sig", "head", F.col("head.k").alias("rep"))
+    sets = every.select("k", "n_shingles", "prefix").join(heads.select(F.col("rep").alias("k")), "k", "left_semi").dropDuplicates(["k"])
+    spots = sets.select(F.col("k").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("p", "h"))
     heart = spots.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
     pair = lambda x, y: [F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")]
     shared, shared_path = written(spots.join(heart.select("h"), "h"))
@@ -166,8 +173,15 @@ def joined(docs: DataFrame) -> DataFrame:
     second = checkpoint(verified(more.join(first, ["a", "b"], "left_anti"), docs))
     delete(spark, open_path)
     whole = components(links.unionByName(second))
-    of = heads.join(whole.withColumnRenamed("v", "rep"), "rep", "left").select("sig", F.coalesce("c", "rep").alias("class_id"))
-    return every.join(of, "sig", "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of = heads.join(whole.withColumnRenamed("v", "rep"), "rep", "left").select("sig", "head", F.coalesce("c", "rep").alias("c"))
+    best = of.groupBy("c").agg(F.min("head").alias("best"))
+    return every.drop("prefix"), of.join(best, "c").select("sig", "best")
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row."""
+    every, of = grouped(keyed(docs.select("doc_id", "text")), False)
+    return every.join(of, "sig", "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("best.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,6 +189,9 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without those that link, by any chain, to a document of a lesser doc_id; rows without doc_id stay."""
-    best = joined(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id IS NULL").unionByName(docs.where("doc_id IS NOT NULL").join(best, "doc_id", "left_semi").select(*docs.columns))
+    """One row of each component: that of least doc_id, one without doc_id only where none has one; rows without words link with nothing and stay."""
+    _, of = grouped(keyed(docs), True)
+    own = docs.withColumn("_k", F.xxhash64(*docs.columns))
+    has = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    kept = own.where(has).dropDuplicates(["_k"]).join(of.select(F.col("best.k").alias("_k")).distinct(), "_k", "left_semi")
+    return own.where(~has).unionByName(kept).select(*docs.columns)
