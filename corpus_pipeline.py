@@ -29,13 +29,10 @@ def clean_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it whole, and once more cut to the words it takes beyond; those taken 0 times go."""
-    own = mixing.mix(docs, F.struct(*docs.columns).alias("row")).where("taken > 0").select("row.*", F.col("taken").alias("_taken"), F.col("size").alias("_size"))
-    times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    own = own.withColumn("_i", F.explode(F.sequence(F.lit(1), times)))
-    left = F.col("_taken") - (F.col("_i") - 1) * F.col("_size")
-    own = own.withColumn("text", F.when(left < F.col("_size"), mixing.first_words(F.col("text"), left)).otherwise(F.col("text")))
-    return own.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Each document whole, as often as comes nearest to the words the mix takes of it, halves up; those nearest to 0 times go."""
+    own = mixing.mix(docs, F.struct(*docs.columns).alias("row")).where("taken > 0")
+    times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
+    return own.select("row", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

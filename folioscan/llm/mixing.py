@@ -88,10 +88,5 @@ def mix(docs: DataFrame, *carried: Column) -> DataFrame:
     return own.select(*kept, "size", "source_size", "target", (whole * F.col("size") + part).alias("taken"))
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its n-th word, white space kept."""
-    return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), n.cast("int")), "")
-
-
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
