@@ -1,6 +1,7 @@
 """Toxicity: subword-bag embeddings, averaged, into a linear softmax, trained jointly in numpy.
 
-A word's bag is its character n-grams of 3 to 5 between < and >, hashed into BUCKETS rows. A text is cut into SPAN-word
+A word's bag is its character n-grams of 3 to 5 between < and >, hashed into BUCKETS rows; a run of more than RUN characters counts as
+words of RUN characters that overlap, so that no n-gram is lost. A text is cut into SPAN-word
 pieces; a piece is the mean of its words' vectors, and a text is as toxic as its most toxic piece. Training begins on whole texts
 and goes on with each text's most toxic pieces (multiple instances), on a bounded sample of labelled rows. Misspellings that
 were never seen share most n-grams with their word. Null, empty and wordless texts get the score of a text
@@ -21,12 +22,23 @@ from .common import labelled, table
 SAMPLE = 3000  # labelled rows at most that the model is fitted on
 BUCKETS, DIM, SPAN, STEPS = 1 << 16, 8, 6, 24
 KEPT = 300_000
+RUN, LONGEST = 40, 5  # characters of a word, of an n-gram
+CHUNK = 1 << 13  # words whose vectors are summed at once, which bounds the driver's memory
 _WORD = re.compile(r"\w+")
 
 
+def runs(text: str) -> list[str]:
+    """The words of a text in lower case, long ones cut into overlapping pieces."""
+    found = _WORD.findall(text.lower())
+    if max(map(len, found), default=0) <= RUN:
+        return found
+    least = LONGEST - 1
+    return [x for w in found for x in ([w] if len(w) <= RUN else [w[i : i + RUN] for i in range(0, len(w) - least, RUN - least)])]
+
+
 def grams(word: str) -> list[int]:
-    w = f"<{word[:40]}>"
-    found = {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)} | {w}
+    w = f"<{word}>"
+    found = {w[i : i + n] for n in (3, 4, LONGEST) for i in range(len(w) - n + 1)} | {w}
     return sorted({xxhash.xxh32_intdigest(x) % BUCKETS for x in found})
 
 
@@ -41,7 +53,7 @@ class Model:
             fitted = len(texts)
         all_texts, all_y, texts, y = texts, y, texts[:fitted], y[:fitted]
         words: dict[str, int] = {}
-        seqs = [np.array([words.setdefault(w, len(words)) for w in _WORD.findall(t.lower())], np.int64) for t in texts]
+        seqs = [np.array([words.setdefault(w, len(words)) for w in runs(t)], np.int64) for t in texts]
         bags = [grams(w) for w in words]
         size = np.array([len(b) for b in bags])
         flat, starts = np.concatenate([np.array(b) for b in bags]), np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -57,7 +69,10 @@ class Model:
         m1, m2, n1, n2 = np.zeros_like(e), np.zeros_like(e), np.zeros(DIM), np.zeros(DIM)
         b, rate, weight = -2.0, 0.05, np.where(y > 0, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean()))
         for t in range(1, STEPS + 1):
-            vec = np.add.reduceat(e[flat], starts) / size[:, None]  # a vector for each word
+            # a vector for each word
+            cuts = [*range(0, len(starts), CHUNK), len(starts)]
+            ends = np.r_[starts, len(flat)]
+            vec = np.concatenate([np.add.reduceat(e[flat[ends[i] : ends[j]]], starts[i:j] - ends[i]) for i, j in zip(cuts, cuts[1:])]) / size[:, None]
             if t <= STEPS // 3:  # whole texts
                 group, gid, gy, gw = docs, docs, y, weight
                 count = np.bincount(docs, minlength=len(y)).astype(float)
@@ -109,7 +124,7 @@ class Model:
 
     def top(self, text: str) -> float:
         known, word = self.known.get, self.word
-        s = np.array([word(w) if (x := known(w)) is None else x for w in _WORD.findall(text.lower())] or [0.0])
+        s = np.array([word(w) if (x := known(w)) is None else x for w in runs(text)] or [0.0])
         at = np.arange(0, len(s), SPAN)
         return float((np.add.reduceat(s, at) / np.diff(np.r_[at, len(s)]).clip(min=SPAN // 2)).max())
 
