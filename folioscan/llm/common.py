@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WS = r"[\x20\x09-\x0D]+"
@@ -125,10 +125,31 @@ def with_stats(docs: DataFrame) -> DataFrame:
 RATES = ["log_words", "word_length", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "digit_rate", "end_rate", "bang_rate", "comma_rate", "break_rate", "bar_rate"]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, where: Column | None = None) -> DataFrame:
-    """doc_id, text and label of at most `bound` labelled rows, those of the least hash: a documented bound for fitting only."""
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns, made unlike every column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, where: Column | None = None, most_bytes: int | None = None) -> DataFrame:
+    """doc_id, text and label of at most `bound` labelled rows, those of the least hash: a documented bound for fitting only.
+
+    A doc_id whose labels clash is left out; of repeated rows of documents all count. With `most_bytes`, rows come in the order of the hash until
+    their texts reach it, whole rows only, and `bound` holds for them even where a doc_id has many rows."""
     own = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
     if where is not None:
         own = own.where(where)
-    own = own.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    order = [F.xxhash64("doc_id", F.lit(17)), F.col("doc_id")]
+    own = own.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most").orderBy(*order).limit(bound)
+    out = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    if most_bytes is None:
+        return out
+    order.append(F.xxhash64("text"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    out = out.orderBy(*order).limit(bound).withColumn("total", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return out.where(F.col("total") <= most_bytes).drop("total")

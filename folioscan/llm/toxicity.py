@@ -1,11 +1,15 @@
 """Toxicity: subword-bag embeddings, averaged, into a linear softmax, trained jointly in numpy.
 
 A word's bag is its character n-grams of 3 to 5 between < and >, hashed into BUCKETS rows; a run of more than RUN characters counts as
-words of RUN characters that overlap, so that no n-gram is lost. A text is cut into SPAN-word
-pieces; a piece is the mean of its words' vectors, and a text is as toxic as its most toxic piece. Training begins on whole texts
-and goes on with each text's most toxic pieces (multiple instances), on a bounded sample of labelled rows. Misspellings that
-were never seen share most n-grams with their word. Null, empty and wordless texts get the score of a text
-without toxic words; with no labels of both kinds all score 0.
+words of RUN characters that overlap, so that no n-gram is lost. A word's vector is the mean of its bag's, a text's the mean of its words'
+(one of fewer than SHORTEST words is filled up with average words, so that a single word of a very short text doesn't decide alone), and a linear softmax of two classes gives the
+score. Embeddings and softmax are learned together by gradient steps that are scaled by each parameter's curvature and shrunk by a
+ridge, so that n-grams of a few texts stay near nought; the scores are calibrated on what models of two thirds of the rows say of the
+other third. Learned from a bounded sample of labelled rows: SAMPLE rows and BYTES bytes, whole rows only. Misspellings that were never
+seen share most n-grams with their word.
+
+Null, empty and wordless texts get the score of average words. With no labels of both kinds all score 0. Repeated rows score alike.
+Rows keep all their columns, extra ones included; the score's column can be named. Empty tables give no rows.
 """
 from __future__ import annotations
 
@@ -16,14 +20,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from .common import labelled, table
 
-SAMPLE = 3000  # labelled rows at most that the model is fitted on
-BUCKETS, DIM, SPAN, STEPS = 1 << 16, 8, 6, 24
+SAMPLE, BYTES = 3000, 1 << 24  # labelled rows and bytes of their texts at most that the model is fitted on
+BUCKETS, DIM, STEPS, FOLDS = 1 << 16, 8, 60, 3
+RATE, MOMENTUM, RIDGE, CAUTION = 0.1, 0.8, 0.01, 12.0
+SHORTEST = 64
 KEPT = 300_000
 RUN, LONGEST = 40, 5  # characters of a word, of an n-gram
-CHUNK = 1 << 13  # words whose vectors are summed at once, which bounds the driver's memory
 _WORD = re.compile(r"\w+")
 
 
@@ -42,116 +48,120 @@ def grams(word: str) -> list[int]:
     return sorted({xxhash.xxh32_intdigest(x) % BUCKETS for x in found})
 
 
+class Bags:
+    """The sample as sparse arrays: words by their n-grams, texts by their words and how much of the text each is."""
+
+    def __init__(self, texts: list[str]):
+        known: dict[str, int] = {}
+        found = [np.unique(np.array([known.setdefault(w, len(known)) for w in runs(t)], np.int64), return_counts=True) for t in texts]
+        bags = [np.array(grams(w), np.int64) for w in known]
+        self.n_texts, self.n_words = len(texts), len(bags)
+        self.size = np.array([len(b) for b in bags], float)
+        self.flat = np.concatenate(bags) if bags else np.zeros(0, np.int64)
+        self.starts = np.r_[0, np.cumsum(self.size)[:-1]].astype(np.int64)[: len(bags)]
+        self.word = np.concatenate([f[0] for f in found])
+        self.text = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
+        count = np.concatenate([f[1] for f in found]).astype(float)
+        self.share = count / np.maximum(np.bincount(self.text, count, len(texts)), SHORTEST)[self.text]
+
+    def logits(self, weights: np.ndarray) -> np.ndarray:
+        """Each text's mean of its words' means of n-gram weights."""
+        if not self.n_words:
+            return np.zeros(self.n_texts)
+        words = np.add.reduceat(weights[self.flat], self.starts) / self.size
+        return np.bincount(self.text, words[self.word] * self.share, self.n_texts)
+
+    def onto_grams(self, per_text: np.ndarray, power: int) -> np.ndarray:
+        """Sums over texts of per_text * share**power, brought down to the n-grams."""
+        words = np.bincount(self.word, per_text[self.text] * self.share**power, self.n_words) / self.size
+        return np.bincount(self.flat, np.repeat(words, self.size.astype(np.int64)), BUCKETS)
+
+
+def learned(bags: Bags, y: np.ndarray, use: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Weights of the n-grams in the logit: embeddings times the softmax's difference, from the texts in `use`."""
+    unit = np.sqrt(max(1e-12, float(np.mean(bags.share**2))))  # shares in units of their size, so that RIDGE means the same for all lengths
+    rate = float(np.clip((y * use).sum() / use.sum(), 1e-6, 1 - 1e-6))
+    v = np.random.default_rng(seed).normal(0, 1, DIM)
+    v /= np.linalg.norm(v)
+    e, me, mv, b = np.zeros((BUCKETS, DIM)), np.zeros((BUCKETS, DIM)), np.zeros(DIM), np.log(rate / (1 - rate))
+    curve = bags.onto_grams(use * rate * (1 - rate), 2) / unit**2 * CAUTION
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(-np.clip(bags.logits(e @ v) / unit + b, -30, 30)))
+        d = (p - y) * use
+        g = bags.onto_grams(d, 1) / unit
+        me = MOMENTUM * me + (g[:, None] * v + RIDGE * e) / (curve + RIDGE)[:, None]
+        mv = MOMENTUM * mv + (g @ e) / (curve @ (e * e) + len(y))
+        e -= RATE * me
+        v -= RATE * mv
+        b -= RATE * d.sum() / max(1e-3, float((p * (1 - p) * use).sum()))
+    return (e @ v) / unit
+
+
+def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept that make logits z fit y, by Newton steps with a unit prior on the slope."""
+    mu, sd = z.mean(), z.std() + 1e-9
+    u, a, c = (z - mu) / sd, 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * u + c, -30, 30)))
+        w = p * (1 - p) + 1e-6
+        h = np.array([[(w * u * u).sum() + 1, (w * u).sum()], [(w * u).sum(), w.sum() + 1e-3]])
+        a, c = np.array([a, c]) - np.linalg.solve(h, [((p - y) * u).sum() + a - 1, (p - y).sum()])
+    a = max(float(a), 0.0)
+    return a / sd, float(c) - a * mu / sd
+
+
 class Model:
-    def __init__(self, texts: list[str], y: np.ndarray, seed: int = 5):
-        self.table, self.bias, self.known = np.zeros(BUCKETS, np.float64), -20.0, {}
+    def __init__(self, texts: list[str], y: np.ndarray):
+        self.table, self.scale, self.bias, self.known = np.zeros(BUCKETS, np.float32), 0.0, -30.0, {}
         if not len(y) or y.min() == y.max():
             return
-        # the last quarter of the rows calibrates the scores of what the others have taught
-        fitted = max(2, len(texts) * 3 // 4)
-        if y[:fitted].min() == y[:fitted].max():
-            fitted = len(texts)
-        all_texts, all_y, texts, y = texts, y, texts[:fitted], y[:fitted]
-        words: dict[str, int] = {}
-        seqs = [np.array([words.setdefault(w, len(words)) for w in runs(t)], np.int64) for t in texts]
-        bags = [grams(w) for w in words]
-        size = np.array([len(b) for b in bags])
-        flat, starts = np.concatenate([np.array(b) for b in bags]), np.concatenate([[0], np.cumsum(size)[:-1]])
-        rng = np.random.default_rng(seed)
-        e, v = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, DIM)  # two classes: the softmax's difference is one vector
-        docs = np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
-        every = np.concatenate(seqs) if seqs else np.zeros(0, np.int64)
-        # pieces, and which document each is of
-        piece = np.concatenate([np.arange(len(s)) // SPAN for s in seqs])
-        first = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (piece[1:] != piece[:-1])])
-        own, length = docs[first], np.diff(np.r_[first, len(docs)])
-        pid = np.repeat(np.arange(len(first)), length)
-        m1, m2, n1, n2 = np.zeros_like(e), np.zeros_like(e), np.zeros(DIM), np.zeros(DIM)
-        b, rate, weight = -2.0, 0.05, np.where(y > 0, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean()))
-        for t in range(1, STEPS + 1):
-            # a vector for each word
-            cuts = [*range(0, len(starts), CHUNK), len(starts)]
-            ends = np.r_[starts, len(flat)]
-            vec = np.concatenate([np.add.reduceat(e[flat[ends[i] : ends[j]]], starts[i:j] - ends[i]) for i, j in zip(cuts, cuts[1:])]) / size[:, None]
-            if t <= STEPS // 3:  # whole texts
-                group, gid, gy, gw = docs, docs, y, weight
-                count = np.bincount(docs, minlength=len(y)).astype(float)
-            else:  # each text's most toxic piece
-                score = (np.bincount(pid, (vec @ v)[every], len(first)) / length)
-                top = np.lexsort((-score, own))
-                top = top[np.r_[True, own[top][1:] != own[top][:-1]]]
-                use = np.full(len(first), -1)
-                use[top] = own[top]
-                gid = use[pid]
-                group, gy, gw = gid, y, weight
-                count = np.bincount(gid[gid >= 0], minlength=len(y)).astype(float)
-            keep = group >= 0
-            g_w, g_d = every[keep], gid[keep]
-            mean = np.stack([np.bincount(g_d, vec[g_w, k], len(y)) for k in range(DIM)], 1) / np.maximum(count, 1)[:, None]
-            p = 1 / (1 + np.exp(-np.clip(mean @ v * 4 + b, -30, 30)))
-            d = (p - gy) * gw / len(y)
-            dv = 4 * mean.T @ d + 1e-4 * v
-            db = d.sum()
-            dword = np.bincount(g_w, (4 * d / np.maximum(count, 1))[g_d], len(words)) / size
-            de = np.bincount(flat, np.repeat(dword, size), BUCKETS)[:, None] * v[None, :] + 1e-7 * e
-            m1, m2 = 0.9 * m1 + 0.1 * de, 0.99 * m2 + 0.01 * de * de
-            n1, n2 = 0.9 * n1 + 0.1 * dv, 0.99 * n2 + 0.01 * dv * dv
-            fix = np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
-            e -= rate * fix * m1 / (np.sqrt(m2) + 1e-7)
-            v -= rate * fix * n1 / (np.sqrt(n2) + 1e-7)
-            b -= 0.5 * rate * db * len(y) / gw.sum() * 10
-        self.table = (e @ v).astype(np.float64)  # the softmax is linear: an n-gram's share of the logit is one number
-        texts, y = (all_texts[fitted:], all_y[fitted:]) if fitted + 50 <= len(all_texts) else (all_texts, all_y)
-        raw = np.array([self.top(x) for x in texts])
-        a, c = 1.0, 0.0
-        mu, sd = raw.mean(), raw.std() + 1e-9
-        z = (raw - mu) / sd
-        for _ in range(400):  # logistic calibration on the same rows
-            p = 1 / (1 + np.exp(-np.clip(a * z + c, -30, 30)))
-            a, c = a - 0.5 * ((p - y) @ z / len(y)), c - 0.5 * (p - y).mean()
-        self.scale, self.bias = max(a, 0) / sd, c - max(a, 0) * mu / sd
-
-    scale = 1.0
+        bags, fold = Bags(texts), np.arange(len(y)) % FOLDS
+        filled = np.bincount(bags.text, bags.share, len(y))
+
+        def padded(z: np.ndarray) -> tuple[np.ndarray, float]:
+            usual = float(z.sum() / max(1e-9, filled.sum()))
+            return z + (1 - filled) * usual, usual
+
+        other = np.zeros(len(y))
+        for k in range(FOLDS):
+            other[fold == k] = padded(bags.logits(learned(bags, y, (fold != k).astype(float))))[0][fold == k]
+        self.scale, self.bias = calibrated(other, y)
+        self.table = learned(bags, y, np.ones(len(y))).astype(np.float32)
+        self.usual = padded(bags.logits(self.table))[1]
+
+    usual = 0.0
 
     def word(self, w: str) -> float:
-        s = self.known.get(w)
-        if s is None:
-            s = float(self.table[grams(w)].mean())
-            if len(self.known) >= KEPT:
-                self.known.clear()
-            self.known[w] = s
+        s = float(self.table[grams(w)].mean())
+        if len(self.known) >= KEPT:
+            self.known.clear()
+        self.known[w] = s
         return s
 
-    def top(self, text: str) -> float:
-        known, word = self.known.get, self.word
-        s = np.array([word(w) if (x := known(w)) is None else x for w in runs(text)] or [0.0])
-        at = np.arange(0, len(s), SPAN)
-        return float((np.add.reduceat(s, at) / np.diff(np.r_[at, len(s)]).clip(min=SPAN // 2)).max())
-
     def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.scale * self.top(text) + self.bias, -30, 30))))
+        known, word, found = self.known.get, self.word, runs(text)
+        s = sum([word(w) if (x := known(w)) is None else x for w in found])
+        n = max(len(found), SHORTEST)
+        return float(1 / (1 + np.exp(-np.clip(self.scale * (s + (n - len(found)) * self.usual) / n + self.bias, -30, 30))))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
-    rows = sorted((r.doc_id, r.text or "", r.label) for r in labelled(docs, labels, "toxic", SAMPLE, fold != 2).collect())
+    rows = sorted((r.doc_id, r.text or "", r.label) for r in labelled(docs, labels, "toxic", SAMPLE, fold != 2, BYTES).collect())
     return Model([r[1] for r in rows], np.array([r[2] for r in rows], float))
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a score; every column stays."""
-    held = docs.sparkSession.sparkContext.broadcast((model.table.astype(np.float32), model.scale, model.bias))  # 256 KB, whatever the input
+def scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a score in the column `name`, which must be new; every column stays."""
+    held = docs.sparkSession.sparkContext.broadcast((model.table, model.scale, model.bias, model.usual))  # 256 KB, whatever the input
 
     def run(batches):
         own = Model([], np.zeros(0))
-        own.table, own.scale, own.bias = held.value
-        own.known = {}
+        own.table, own.scale, own.bias, own.usual = held.value
         for b in batches:
-            yield b.append_column("score", pa.array([own.score(x or "") for x in b.column("text").to_pylist()], pa.float64()))
-
-    from pyspark.sql.types import DoubleType, StructType
+            yield b.append_column(name, pa.array([own.score(x or "") for x in b.column("text").to_pylist()], pa.float64()))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("score", DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
