@@ -1,57 +1,159 @@
 """Merkle fixity audit of WARC replicas: records and their ordered offset ranges hashed into trees, compared from the roots down.
 
-Pages are dealt to files by a hash of their id and stand in the order of page_id. A leaf hashes a record's bytes with its offset
-range; FAN neighbours make a node, up to one root for each file. Only children of nodes that differ are looked at on the way down.
-Null pages count as empty records and null ids come first; a file that one replica lacks differs at its root. Empty tables give no rows.
+A leaf hashes a record's bytes with its length and number of equal copies; FAN neighbours, in the order of their offsets, make a node that hashes
+its children and the length of its range, up to one root for each file. Lengths are those of the range and not offsets from the start, so a
+record that grew changes only the nodes above it. The audit compares roots, looks only at the children of nodes that differ, and aligns the
+records of differing leaves by their hash, so that a lost or added record doesn't flag those that it moved. Both trees of a file are made
+and walked in one row; files are dealt by hash and hold about PER_FILE records each.
+
+Equal records (same page_id, url and html) stand next to each other and make one leaf with their number. Null urls and pages count as empty, null
+ids come first and are spread over files like others. A repeated page_id with another page is a record of its own. A file that one replica
+lacks has all its records missing or extra. Empty tables give no rows; columns other than page_id, url and html are left alone.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import hashlib
+import re
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import let, table
 
 FAN, PER_FILE, LEVELS = 16, 2048, 4
+END = "\r\n\r\n"
+
+
+def record(page_id: Column, url: Column, html: Column) -> Column:
+    """The WARC record without the separator after it."""
+    body, named = F.coalesce(html, F.lit("")), F.translate(F.coalesce(url, F.lit("")), "\r\n", "  ")
+    head = ["WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:", F.coalesce(page_id.cast("string"), F.lit("")), ">\r\nWARC-Target-URI: ", named, "\r\nContent-Length: ", F.octet_length(body).cast("string"), END]
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in head], body)
+
+
+def measured(page_id: Column, url: Column, html: Column) -> Column:
+    """struct(page_id, length, sha256) of a record with its separator."""
+    return let(F.concat(record(page_id, url, html), F.lit(END)).cast("binary"), lambda raw: F.struct(page_id.alias("page_id"), F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("sha256")))
+
+
+def laid_out(rows: DataFrame) -> DataFrame:
+    """file, page_id, length, sha256, copies and offset of rows that have file, r (a measured record) and place (what orders a file)."""
+    one = rows.groupBy("file", "place", "r").agg(F.count("*").alias("copies"))
+    w = Window.partitionBy("file").orderBy("place", "r").rowsBetween(Window.unboundedPreceding, -1)
+    return one.select("file", "r.*", "copies", F.coalesce(F.sum(F.col("copies") * F.col("r.length")).over(w), F.lit(0)).alias("offset"))
+
+
+def placed(pages: DataFrame, files: int) -> DataFrame:
+    """Every page with its measured record r, its file and its place there."""
+    own = pages.select("page_id", "url", "html", measured(F.col("page_id"), F.col("url"), F.col("html")).alias("r"))
+    return own.select("*", F.pmod(F.xxhash64("page_id", "r.sha256"), F.lit(files)).cast("int").alias("file"), F.struct("page_id", "r.sha256").alias("place"))
 
 
 def records(pages: DataFrame, files: int) -> DataFrame:
-    body = F.coalesce("html", F.lit(""))
-    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    raw = F.concat(head, body, F.lit("\r\n\r\n")).cast("binary")
-    out = pages.select("page_id", F.pmod(F.xxhash64("page_id"), F.lit(files)).cast("int").alias("file"), F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("sha256"))
-    w = Window.partitionBy("file").orderBy("page_id", "sha256")
-    out = out.withColumn("at", F.row_number().over(w) - 1)
-    return out.withColumn("offset", F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return laid_out(placed(pages, files))
+
+
+def write(pages: DataFrame, files: int, path: str) -> None:
+    """WARC files: one for each file=<n> folder; records in order, each followed by a blank line."""
+    own = placed(pages, files).select("file", "place", record(F.col("page_id"), F.col("url"), F.col("html")).alias("value"))
+    own.repartition("file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").option("lineSep", END).text(path)
+
 
+def parsed(raw: bytes):
+    """(page_id, offset, length, sha256) of each record; what can't be read as records is one record without id."""
+    at = 0
+    while at < len(raw):
+        end = raw.find(END.encode(), at)
+        size = re.search(rb"Content-Length: (\d+)$", raw[at:end]) if end >= 0 else None
+        stop = end + 4 + int(size[1]) + 4 if size else len(raw)
+        if stop > len(raw) or raw[stop - 4 : stop] != END.encode():
+            stop, size = len(raw), None
+        name = re.search(rb"<urn:page:(-?\d+)>", raw[at:end]) if size else None
+        yield int(name[1]) if name else None, at, stop - at, hashlib.sha256(raw[at:stop]).hexdigest()
+        at = stop
 
-def trees(recs: DataFrame) -> list[DataFrame]:
-    """Levels from the leaves to the roots: file, node, hash."""
-    leaf = F.sha2(F.concat_ws(":", "sha256", "offset", "length"), 256)
-    levels = [recs.select("file", F.col("at").cast("long").alias("node"), leaf.alias("hash"))]
-    for _ in range(LEVELS):
-        up = levels[-1].groupBy("file", F.floor(F.col("node") / FAN).alias("up")).agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("c"))
-        levels.append(up.select("file", F.col("up").alias("node"), F.sha2(F.concat_ws("", F.transform("c", lambda x: x.hash)), 256).alias("hash")))
-    return levels
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The records of written files, as stored: equal ones are told apart by their offset, copies is 1."""
+
+    def run(batches):
+        for b in batches:
+            for number, raw in zip(b.column("file").to_pylist(), b.column("content").to_pylist(), strict=True):
+                found = list(parsed(raw))
+                cols = [pa.array([number] * len(found), pa.int32()), *[pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], pa.array([1] * len(found), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["file", "page_id", "offset", "length", "sha256", "copies"])
+
+    raw = spark.read.format("binaryFile").load(f"{path}/file=*/*").select(F.regexp_extract("path", r"file=(\d+)/", 1).cast("int").alias("file"), "content")
+    return raw.mapInArrow(run, "file int, page_id long, offset long, length long, sha256 string, copies long")
+
+
+def above(nodes: Column) -> Column:
+    """The level over array<struct(hash, length)>."""
+
+    def node(i: Column, all_: Column) -> Column:
+        join = lambda s: F.sha2(F.concat_ws("", F.transform(s, lambda x: F.concat_ws(":", x.hash, x.length))), 256)
+        sum_ = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x.length)
+        return let(F.slice(all_, i * FAN + 1, F.lit(FAN)), lambda s: F.struct(join(s).alias("hash"), sum_(s).alias("length")))
+
+    return F.when(F.size(nodes) > 0, F.transform(F.sequence(F.lit(0), F.ceil(F.size(nodes) / FAN).cast("int") - 1), lambda i: node(i, nodes))).otherwise(nodes)
+
+
+def differing(left: Column, right: Column, among: Column) -> Column:
+    """Places in `among` where two levels differ."""
+    return F.filter(among, lambda i: ~F.get(left, i).eqNullSafe(F.get(right, i)))
 
 
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
-    """file, at and both sides' page_id, offset, length, sha256 of each record that differs."""
-    bad = None
-    for a, b in zip(reversed(trees(left)), reversed(trees(right)), strict=True):
-        if bad is not None:
-            up = bad.select("file", F.col("node").alias("up"))
-            a, b = (x.withColumn("up", F.floor(F.col("node") / FAN)).join(up, ["file", "up"], "left_semi").drop("up") for x in (a, b))
-        pairs = a.alias("a").join(b.withColumnRenamed("hash", "other"), ["file", "node"], "full")
-        bad = pairs.where(~F.col("hash").eqNullSafe(F.col("other"))).select("file", "node")
-    bad = bad.select("file", F.col("node").alias("at"))
-    sides = [x.join(bad, ["file", "at"], "left_semi").select("file", "at", *[F.col(c).alias(f"{n}{c}") for c in ("page_id", "offset", "length", "sha256")]) for n, x in (("", left), ("replica_", right))]
-    return sides[0].join(sides[1], ["file", "at"], "full")
+    """file, kind (changed, resized, missing, extra) and both sides' page_id, offset, length, sha256 and copies of each record that differs.
+
+    left and right: file, page_id, offset, length, sha256, copies. A record that both sides have, of one page_id and in one differing range of a file, is changed or resized."""
+    parts = ["offset", "page_id", "length", "sha256", "copies"]
+    both = left.select("file", *parts, F.lit(0).alias("side")).unionByName(right.select("file", *parts, F.lit(1).alias("side")))
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct(*parts))))
+    df = both.groupBy("file").agg(of(0).alias("l"), of(1).alias("r"))
+    leaf = lambda c: F.transform(c, lambda x: F.struct(F.concat_ws(":", x.sha256, x.copies).alias("hash"), (x.length * x.copies).alias("length")))
+    df = df.select("*", leaf(F.col("l")).alias("l0"), leaf(F.col("r")).alias("r0"))
+    for k in range(1, LEVELS + 1):
+        df = df.select("*", above(F.col(f"l{k - 1}")).alias(f"l{k}"), above(F.col(f"r{k - 1}")).alias(f"r{k}"))
+    last = lambda k: F.greatest(F.size(f"l{k}"), F.size(f"r{k}")) - 1
+    df = df.where(f"NOT (l{LEVELS} <=> r{LEVELS})").select("*", differing(F.col(f"l{LEVELS}"), F.col(f"r{LEVELS}"), F.sequence(F.lit(0), last(LEVELS))).alias("at"))
+    for k in range(LEVELS - 1, -1, -1):
+        end = last(k)
+        below = F.flatten(F.transform("at", lambda i: F.sequence(i * FAN, F.least(i * FAN + FAN - 1, end))))  # noqa: B023
+        df = df.withColumn("at", differing(F.col(f"l{k}"), F.col(f"r{k}"), below))
+    found = lambda c: F.filter(F.transform("at", lambda i: F.get(F.col(c), i)), lambda x: x.isNotNull())
+    df = df.select("file", found("l").alias("l"), found("r").alias("r"))
+    # align by hash what a lost or added record moved
+    key = lambda c: F.transform(c, lambda x: F.concat_ws(":", x.sha256, x.copies))
+    df = df.select("file", "l", "r", key(F.col("l")).alias("lk"), key(F.col("r")).alias("rk"))
+    df = df.select("file", "l", "r", F.array_except("lk", "rk").alias("lk"), F.array_except("rk", "lk").alias("rk"))
+    only = lambda c, keys: F.filter(c, lambda x: F.array_contains(keys, F.concat_ws(":", x.sha256, x.copies)))
+    df = df.select("file", only("l", "lk").alias("l"), only("r", "rk").alias("r"))
+    # the n-th of a page_id on one side meets the n-th of it on the other
+    counted = lambda c: F.transform(c, lambda x, i: F.struct(x.alias("x"), F.size(F.filter(F.slice(c, 1, i + 1), lambda y: y.page_id.eqNullSafe(x.page_id))).alias("n")))
+    df = df.select("file", counted(F.col("l")).alias("l"), counted(F.col("r")).alias("r"))
+    same = lambda a, b: a.x.page_id.eqNullSafe(b.x.page_id) & (a.n == b.n)
+    pairs = F.transform("l", lambda a: F.struct(a.x.alias("a"), F.get(F.filter("r", lambda b: same(a, b)), F.lit(0)).x.alias("b")))
+    alone = F.transform(F.filter("r", lambda b: ~F.exists("l", lambda a: same(a, b))), lambda b: F.struct(F.lit(None).cast(df.schema["l"].dataType.elementType["x"].dataType).alias("a"), b.x.alias("b")))
+    out = df.select("file", F.explode(F.concat(pairs, alone)).alias("d"))
+    kind = F.when(F.col("d.b").isNull(), "missing").when(F.col("d.a").isNull(), "extra").when(F.col("d.a.length") * F.col("d.a.copies") != F.col("d.b.length") * F.col("d.b.copies"), "resized").otherwise("changed")
+    names = ("page_id", "offset", "length", "sha256", "copies")
+    return out.select("file", kind.alias("kind"), *[F.col(f"d.a.{c}").alias(c) for c in names], *[F.col(f"d.b.{c}").alias(f"replica_{c}") for c in names])
+
+
+def damaged(own: DataFrame) -> DataFrame:
+    """The records of a replica of placed pages, by page_id: every 101st has its last byte changed, every 211th is lost, every 307th is longer, every 401st has another after it."""
+    i, url, html = F.col("page_id"), F.col("url"), F.coalesce("html", F.lit(""))
+    r = lambda h, u=url: measured(i, u, h)
+    flipped = F.concat(F.substr(html, F.lit(1), F.greatest(F.length(html) - 1, F.lit(0))), F.lit("\x01"))
+    kept = F.when(i % 211 == 0, F.array().cast(f"array<{own.schema['r'].dataType.simpleString()}>")).when(i % 401 == 0, F.array(F.col("r"), r(html, F.concat(url, F.lit("#added")))))
+    kept = kept.when(i % 307 == 0, F.array(r(F.concat(html, F.lit(" and more"))))).when((i % 101 == 0) & (F.octet_length(F.substr(html, F.length(html))) == 1), F.array(r(flipped))).otherwise(F.array("r"))
+    return own.select("file", "place", F.explode(kept).alias("r"))
 
 
 def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits the pages' WARC files against a replica whose records of every 101st page_id have one byte changed, without a change of length."""
+    """Audits the pages' WARC records against a replica with changed, lost, grown and added records."""
     pages = table(spark, sf_dir, "pages")
-    files = 1 + pages.count() // PER_FILE
-    changed = F.concat(F.lit("?"), F.substr("html", F.lit(2)))
-    replica = pages.withColumn("html", F.when((F.col("page_id") % 101 == 0) & (F.length("html") > 0), changed).otherwise(F.col("html")))
-    return audit(records(pages, files), records(replica, files))
+    own = placed(pages, 1 + pages.count() // PER_FILE)
+    return audit(laid_out(own), laid_out(damaged(own)))
