@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import let, table
 
-FAN, PER_FILE, LEVELS = 16, 2048, 4
+FAN, PER_FILE = 16, 2048
 END = "\r\n\r\n"
 
 
@@ -88,20 +89,60 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return raw.mapInArrow(run, "file int, page_id long, offset long, length long, sha256 string, copies long")
 
 
-def above(nodes: Column) -> Column:
-    """The level over array<struct(hash, length)>."""
-
-    def node(i: Column, all_: Column) -> Column:
-        join = lambda s: F.sha2(F.concat_ws("", F.transform(s, lambda x: F.concat_ws(":", x.hash, x.length))), 256)
-        sum_ = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x.length)
-        return let(F.slice(all_, i * FAN + 1, F.lit(FAN)), lambda s: F.struct(join(s).alias("hash"), sum_(s).alias("length")))
-
-    return F.when(F.size(nodes) > 0, F.transform(F.sequence(F.lit(0), F.ceil(F.size(nodes) / FAN).cast("int") - 1), lambda i: node(i, nodes))).otherwise(nodes)
-
-
-def differing(left: Column, right: Column, among: Column) -> Column:
-    """Places in `among` where two levels differ."""
-    return F.filter(among, lambda i: ~F.get(left, i).eqNullSafe(F.get(right, i)))
+Leaf = tuple[int, int | None, int, str, int]  # offset, page_id, length, sha256, copies
+
+
+def tree(leaves: list[Leaf]) -> list[list[tuple[bytes, int]]]:
+    """Levels of (hash, length of the range), from the leaves to the root."""
+    levels = [[(hashlib.sha256(f"{sha}:{length}:{copies}".encode()).digest(), length * copies) for _, _, length, sha, copies in leaves]]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        parts = [below[i : i + FAN] for i in range(0, len(below), FAN)]
+        levels.append([(hashlib.sha256(b"".join(h + n.to_bytes(8, "little") for h, n in part)).digest(), sum(n for _, n in part)) for part in parts])
+    return levels
+
+
+def differing(left: list, right: list) -> list[int]:
+    """Places of the leaves that differ, looking only below nodes that do. Trees of unlike height are raised to the same."""
+    while len(left) < len(right):
+        left = [*left, left[-1]]
+    while len(right) < len(left):
+        right = [*right, right[-1]]
+    at = [0]
+    for level, (a, b) in enumerate(zip(reversed(left), reversed(right), strict=True)):
+        if level:
+            at = [j for i in at for j in range(i * FAN, min(i * FAN + FAN, max(len(a), len(b))))]
+        at = [i for i in at if (a[i] if i < len(a) else None) != (b[i] if i < len(b) else None)]
+    return at
+
+
+def compared(left: list[Leaf], right: list[Leaf]) -> list[tuple[Leaf | None, Leaf | None]]:
+    """The records of one file that differ: by trees, then aligned by their hash, for a lost or added record moves others."""
+    at = differing(tree(left), tree(right))
+    l, r = [left[i] for i in at if i < len(left)], [right[i] for i in at if i < len(right)]
+    key = lambda x: (x[3], x[4])
+    more = Counter(map(key, l))
+    more.subtract(map(key, r))
+    lost, gained = [], []
+    for x in l:
+        if more[key(x)] > 0:
+            more[key(x)] -= 1
+            lost.append(x)
+    for x in r:
+        if more[key(x)] < 0:
+            more[key(x)] += 1
+            gained.append(x)
+    by: dict = {}
+    for x in gained:
+        by.setdefault(x[1], []).append(x)
+    pairs = [(x, by[x[1]].pop(0) if by.get(x[1]) else None) for x in lost]
+    return pairs + [(None, x) for xs in by.values() for x in xs]
+
+
+def kind(a: Leaf | None, b: Leaf | None) -> str:
+    if a is None or b is None:
+        return "extra" if a is None else "missing"
+    return "changed" if a[2] * a[4] == b[2] * b[4] else "resized"
 
 
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -110,36 +151,23 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     left and right: file, page_id, offset, length, sha256, copies. A record that both sides have, of one page_id and in one differing range of a file, is changed or resized."""
     parts = ["offset", "page_id", "length", "sha256", "copies"]
     both = left.select("file", *parts, F.lit(0).alias("side")).unionByName(right.select("file", *parts, F.lit(1).alias("side")))
-    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct(*parts))))
-    df = both.groupBy("file").agg(of(0).alias("l"), of(1).alias("r"))
-    leaf = lambda c: F.transform(c, lambda x: F.struct(F.concat_ws(":", x.sha256, x.copies).alias("hash"), (x.length * x.copies).alias("length")))
-    df = df.select("*", leaf(F.col("l")).alias("l0"), leaf(F.col("r")).alias("r0"))
-    for k in range(1, LEVELS + 1):
-        df = df.select("*", above(F.col(f"l{k - 1}")).alias(f"l{k}"), above(F.col(f"r{k - 1}")).alias(f"r{k}"))
-    last = lambda k: F.greatest(F.size(f"l{k}"), F.size(f"r{k}")) - 1
-    df = df.where(f"NOT (l{LEVELS} <=> r{LEVELS})").select("*", differing(F.col(f"l{LEVELS}"), F.col(f"r{LEVELS}"), F.sequence(F.lit(0), last(LEVELS))).alias("at"))
-    for k in range(LEVELS - 1, -1, -1):
-        end = last(k)
-        below = F.flatten(F.transform("at", lambda i: F.sequence(i * FAN, F.least(i * FAN + FAN - 1, end))))  # noqa: B023
-        df = df.withColumn("at", differing(F.col(f"l{k}"), F.col(f"r{k}"), below))
-    found = lambda c: F.filter(F.transform("at", lambda i: F.get(F.col(c), i)), lambda x: x.isNotNull())
-    df = df.select("file", found("l").alias("l"), found("r").alias("r"))
-    # align by hash what a lost or added record moved
-    key = lambda c: F.transform(c, lambda x: F.concat_ws(":", x.sha256, x.copies))
-    df = df.select("file", "l", "r", key(F.col("l")).alias("lk"), key(F.col("r")).alias("rk"))
-    df = df.select("file", "l", "r", F.array_except("lk", "rk").alias("lk"), F.array_except("rk", "lk").alias("rk"))
-    only = lambda c, keys: F.filter(c, lambda x: F.array_contains(keys, F.concat_ws(":", x.sha256, x.copies)))
-    df = df.select("file", only("l", "lk").alias("l"), only("r", "rk").alias("r"))
-    # the n-th of a page_id on one side meets the n-th of it on the other
-    counted = lambda c: F.transform(c, lambda x, i: F.struct(x.alias("x"), F.size(F.filter(F.slice(c, 1, i + 1), lambda y: y.page_id.eqNullSafe(x.page_id))).alias("n")))
-    df = df.select("file", counted(F.col("l")).alias("l"), counted(F.col("r")).alias("r"))
-    same = lambda a, b: a.x.page_id.eqNullSafe(b.x.page_id) & (a.n == b.n)
-    pairs = F.transform("l", lambda a: F.struct(a.x.alias("a"), F.get(F.filter("r", lambda b: same(a, b)), F.lit(0)).x.alias("b")))
-    alone = F.transform(F.filter("r", lambda b: ~F.exists("l", lambda a: same(a, b))), lambda b: F.struct(F.lit(None).cast(df.schema["l"].dataType.elementType["x"].dataType).alias("a"), b.x.alias("b")))
-    out = df.select("file", F.explode(F.concat(pairs, alone)).alias("d"))
-    kind = F.when(F.col("d.b").isNull(), "missing").when(F.col("d.a").isNull(), "extra").when(F.col("d.a.length") * F.col("d.a.copies") != F.col("d.b.length") * F.col("d.b.copies"), "resized").otherwise("changed")
-    names = ("page_id", "offset", "length", "sha256", "copies")
-    return out.select("file", kind.alias("kind"), *[F.col(f"d.a.{c}").alias(c) for c in names], *[F.col(f"d.b.{c}").alias(f"replica_{c}") for c in names])
+    of = lambda side: F.collect_list(F.when(F.col("side") == side, F.struct(*parts)))
+    names = ["page_id", "offset", "length", "sha256", "copies"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                l, r = (sorted((tuple(x[c] for c in parts) for x in batch.column(c)[i].as_py()), key=lambda x: x[0]) for c in ("l", "r"))
+                rows += [(batch.column("file")[i].as_py(), kind(a, b), a, b) for a, b in compared(l, r)]
+            cols = [pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.string())]
+            cols += [pa.array([x[side][parts.index(c)] if x[side] else None for x in rows], t) for side in (2, 3) for c, t in zip(names, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, ["file", "kind", *names, *[f"replica_{c}" for c in names]])
+
+    one = "page_id long, offset long, length long, sha256 string, copies long"
+    schema = f"file int, kind string, {one}, " + ", ".join(f"replica_{c}" for c in one.split(", "))
+    return both.groupBy("file").agg(of(0).alias("l"), of(1).alias("r")).mapInArrow(run, schema)
 
 
 def damaged(own: DataFrame) -> DataFrame:
