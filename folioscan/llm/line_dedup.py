@@ -91,7 +91,8 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     bad = let(places, lambda p: F.transform(F.col(gone_), lambda g: F.get(p, g)))
     stay = lambda n, b: F.array_except(F.sequence(F.lit(0), n - 1), b)
     without = let(numbered, lambda xs: let(bad, lambda b: F.array_join(F.transform(stay(F.size(xs), b), lambda i: F.get(xs, i)), "\n")))
-    out = keyed.join(gone, [id_, tie], "left").withColumn(new, F.when(F.col(gone_).isNull(), text).otherwise(without))
+    # what is deleted grows with the input, so it is never broadcast
+    out = keyed.join(gone.hint("merge"), [id_, tie], "left").withColumn(new, F.when(F.col(gone_).isNull(), text).otherwise(without))
     n = F.coalesce(F.size(F.filter(F.split(text, "\n", -1), has)), F.lit(0)).cast("long")
     cols = [c for c in docs.columns if c not in ("text", "n_chars")]
     return out.select(*cols, F.col(new).alias("text"), F.length(new).cast("long").alias("n_chars"), n.alias(n_lines), F.coalesce(F.size(gone_), F.lit(0)).cast("long").alias(n_removed))
