@@ -5,8 +5,8 @@ classes over all documents (any one order is exact; the counts make prefixes rar
 prefix. Tokens of the prefixes go to buckets by their hash in packed blocks, and what meets there twice or more is kept. Before that, each task
 brings the tokens that its own documents share down to one, so a shingle of very many documents reaches a bucket once for each task.
 
-First every member of a shingle's group meets the group's shortest set, its heart, which joins groups of near copies without pairing them: of a
-set's hearts the one with most shingles in common is verified. Then only members of groups that still hold several components meet. Pairs pass a length and
+First every member of a shingle's group meets the group's heart, the set in which the shingle stands earliest: it has the fewest rare shingles of its own, so
+of near copies it is the least edited one. This joins groups of near copies without pairing them: of a set's hearts the one with most shingles in common is verified. Then only members of groups that still hold several components meet. Pairs pass a length and
 a positional filter where they are made, and a suffix filter on counts of the sets' shingles in 256 parts (the sum of the lesser counts
 bounds what two sets share) before any text is fetched; then each is verified once on whole texts. Shingles and sets are compared by 64-bit
 hashes of their words' 64-bit hashes.
@@ -172,7 +172,7 @@ def met(h, id_, n, p) -> tuple[np.ndarray, list[np.ndarray]]:
     same = h[o][1:] == h[o][:-1]
     many = np.r_[False, same] | np.r_[same, False] if len(o) else np.zeros(0, bool)
     alone, o = o[~many], o[many]
-    o = o[np.lexsort((id_[o], n[o], h[o]))]
+    o = o[np.lexsort((id_[o], n[o], p[o], h[o]))]
     o = o[np.r_[True, (h[o][1:] != h[o][:-1]) | (id_[o][1:] != id_[o][:-1])]] if len(o) else o
     start = np.flatnonzero(np.r_[True, h[o][1:] != h[o][:-1]]) if len(o) else np.zeros(0, np.int64)
     size = np.diff(np.r_[start, len(o)])
