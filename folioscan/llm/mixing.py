@@ -7,7 +7,8 @@ A shard's documents stand in an order seeded by a hash, and its blocks are taken
 again where the quota exceeds the shard. So a document is taken whole a number of times, and once more in part.
 No document exceeds three times its size, for a shard's quota stops there. Null or empty texts have size 0 and give 0.
 An empty table gives an empty result; equal rows are treated alike but for their place in the order. Shard and place come from a
-hash of the whole row, so rows that share a doc_id or have none are spread and decided one by one.
+hash of the whole row, so rows that share a doc_id or have none are spread and decided one by one. Extra columns only enter that hash,
+whatever their names; those to be kept are passed as `carried`, packed in a struct where names may clash.
 """
 from __future__ import annotations
 
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, table
 
-BLOCK, CAP, WEIGHTS, SEED, LEAST_SHARD = 32, 3, (5, 2, 1), 11, 200
+BLOCK, CAP, WEIGHTS, SEED = 32, 3, (5, 2, 1), 11
+SHARD = 2000  # rows in a shard, about: shards follow from the data alone, so reruns agree under any setting of the session
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -62,12 +64,10 @@ def apportion(parts: DataFrame, votes: str, seats: str, within: list[str], keys:
 
 def mix(docs: DataFrame, *carried: Column) -> DataFrame:
     """doc_id, source, the `carried` columns, size, source_size, target and taken (words): a row for each of docs."""
-    spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sizes = docs.select("doc_id", "source", *carried, size.alias("size"), F.xxhash64(*docs.columns).alias("_hash"))
     by_source = targets(sizes)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / F.greatest(F.lit(LEAST_SHARD), F.sum("n_rows").over(Window.partitionBy()) / F.lit(4 * n))).cast("int"))
+    shards = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / SHARD).cast("int"))
     few = by_source.withColumn("shards", shards).withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy()) / BLOCK).cast("long")).withColumn("one", F.lit(1))
     few = apportion(few, "target", "blocks", ["one"], ["source"]).withColumnRenamed("quota", "source_quota")
     # as many rows as sources: a handful, whatever the input
