@@ -187,7 +187,7 @@ def met(h, id_, n, p) -> tuple[np.ndarray, list[np.ndarray]]:
 def shared_tokens(docs: DataFrame, counts: np.ndarray, tokens: int) -> DataFrame:
     """h, id, n, p, heart, ok: the prefix tokens that two sets or more share. id is a set's sig; a pair of id and heart may be alike only if ok."""
     held = docs.sparkSession.sparkContext.broadcast(counts)
-    bits = int(min(16, max(4, np.ceil(np.log2(max(1, tokens // PER_BUCKET))))))
+    bits = int(min(16, max(8, np.ceil(np.log2(max(1, tokens // PER_BUCKET))))))
 
     def deal(batches):
         count, parts, size, seen = held.value, [], 0, set()
