@@ -1,95 +1,6 @@
-"""Every query of the engine by name, and its SQL."""
-from __future__ import annotations
+"""Every query of the engine by name, and the SQL of those that SQL can express."""
+from . import answer_queries, relational_queries, retrieval_queries, run_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from folioscan.functions import text as T
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _chunks(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", "text", F.posexplode(T.window_starts(F.col("text"), 900, 120)).alias("chunk_no", "start")).select("doc_id", F.col("chunk_no").cast("long"), F.col("start").cast("long"), F.expr("substring(text, start + 1, 900)").alias("chunk"))
-
-
-def years(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.years(F.col("text")), ",").alias("years"))
-
-
-def sliding_chunks(spark, sf_dir):
-    return _chunks(spark, sf_dir)
-
-
-def chunk_links(spark, sf_dir):
-    w = Window.partitionBy("doc_id").orderBy("chunk_no")
-    return _chunks(spark, sf_dir).select("doc_id", "chunk_no", F.lag("chunk_no").over(w).alias("prev_no"), F.lead("chunk_no").over(w).alias("next_no"))
-
-
-def _terms(spark, sf_dir):
-    one = _chunks(spark, sf_dir).select("doc_id", "chunk_no", F.explode(T.tokens(F.col("chunk"))).alias("token"))
-    return one.groupBy("doc_id", "chunk_no", "token").agg(F.count("*").alias("tf"))
-
-
-def local_idf(spark, sf_dir):
-    n = _chunks(spark, sf_dir).agg(F.count("*").alias("n"))
-    df = _terms(spark, sf_dir).groupBy("token").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(n)).select("token", "df", F.round(F.log((F.col("n") + 1) / (F.col("df") + 0.5)) + 1, 6).alias("idf"))
-
-
-def retrieve_question_topk(spark, sf_dir):
-    """The 14 best chunks of each question by the token component; ties by doc_id and chunk. n is one row, so its broadcast is bounded."""
-    q = _read(spark, sf_dir, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("item_id", "token").agg(F.least(F.count("*"), F.lit(3)).alias("qf"))
-    terms = _terms(spark, sf_dir).join(q.select("token").distinct(), "token", "left_semi")
-    n = _chunks(spark, sf_dir).agg(F.count("*").alias("n"))
-    df = terms.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n))
-    idf = df.select("token", (F.log((F.col("n") + 1) / (F.col("df") + 0.5)) + 1).alias("idf"))
-    part = (1 + F.log1p(F.col("tf").cast("double"))) * F.col("idf") * F.col("qf")
-    score = q.join(idf, "token").join(terms, "token").groupBy("item_id", "doc_id", "chunk_no").agg(F.round(F.sum(part), 3).alias("score"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id", "chunk_no")
-    return score.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 14")
-
-
-def label_totals(spark, sf_dir):
-    j = _read(spark, sf_dir, "labels").join(_read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return j.rollup("lang").agg(F.count("*").alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"))
-
-
-def unlabelled(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", "source").join(_read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
-def hash_stratified_sample(spark, sf_dir):
-    h = F.sha2(F.concat(F.lit("salt:"), F.col("doc_id").cast("string")), 256)
-    w = Window.partitionBy("lang").orderBy("h")
-    d = _read(spark, sf_dir, "documents").select("doc_id", "lang", h.alias("h")).withColumn("rank", F.row_number().over(w).cast("long"))
-    return d.where("rank <= 20")
-
-
-def html_titles(spark, sf_dir):
-    return _read(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"))
-
-
-_CHUNKS = """d AS (SELECT doc_id, text, unnest(generate_series(0, greatest(0, length(text) - 121), 780)) AS start FROM documents WHERE length(text) > 0),
-c AS (SELECT doc_id, CAST(start // 780 AS BIGINT) AS chunk_no, CAST(start AS BIGINT) AS start, substr(text, start + 1, 900) AS chunk FROM d)"""
-_TERMS = _CHUNKS + """, w AS (SELECT doc_id, chunk_no, lower(unnest(regexp_extract_all(chunk, '[A-Za-z0-9][A-Za-z0-9._%/-]*'))) AS token FROM c),
-t AS (SELECT doc_id, chunk_no, token, count(*) AS tf FROM w WHERE length(token) >= 2 GROUP BY ALL)"""
-
-QUERIES = {f.__name__: f for f in (years, sliding_chunks, chunk_links, local_idf, retrieve_question_topk, label_totals, unlabelled, hash_stratified_sample, html_titles)}
-ORACLE_SQL = {
-    "years": "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?:19|20)[0-9]{2}'))), ',') AS years FROM documents",
-    "sliding_chunks": f"WITH {_CHUNKS} SELECT * FROM c",
-    "chunk_links": f"WITH {_CHUNKS} SELECT doc_id, chunk_no, lag(chunk_no) OVER w AS prev_no, lead(chunk_no) OVER w AS next_no FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_no)",
-    "local_idf": f"WITH {_TERMS}, f AS (SELECT token, count(*) AS df FROM t GROUP BY token) SELECT token, df, round(ln(((SELECT count(*) FROM c) + 1) / (df + 0.5)) + 1, 6) AS idf FROM f",
-    "retrieve_question_topk": f"""WITH {_TERMS}, f AS (SELECT token, ln(((SELECT count(*) FROM c) + 1) / (count(*) + 0.5)) + 1 AS idf FROM t GROUP BY token),
-q0 AS (SELECT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._%/-]*'))) AS token FROM benchmark), q AS (SELECT item_id, token, least(count(*), 3) AS qf FROM q0 WHERE length(token) >= 2 GROUP BY ALL),
-s AS (SELECT item_id, doc_id, chunk_no, round(sum((1 + ln(1 + tf)) * idf * qf), 3) AS score FROM q JOIN f USING (token) JOIN t USING (token) GROUP BY ALL)
-SELECT item_id, doc_id, chunk_no, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, chunk_no) AS rank FROM s QUALIFY rank <= 14""",
-    "label_totals": "SELECT lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)",
-    "unlabelled": "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)",
-    "hash_stratified_sample": "SELECT doc_id, lang, sha256('salt:' || doc_id) AS h, row_number() OVER (PARTITION BY lang ORDER BY sha256('salt:' || doc_id)) AS rank FROM documents QUALIFY rank <= 20",
-    "html_titles": "SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title FROM pages",
-}
+PARTS = (text_queries, retrieval_queries, relational_queries, answer_queries, run_queries)
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in PARTS for name, sql in part.ORACLE_SQL.items()}
