@@ -5,10 +5,10 @@ classes over all documents (any one order is exact; the counts make prefixes rar
 prefix. Tokens of the prefixes go to buckets by their hash in packed blocks, and what meets there twice or more is kept. Before that, each task
 brings the tokens that its own documents share down to one, so a shingle of very many documents reaches a bucket once for each task.
 
-First every member of a shingle's group meets the group's heart, the set in which the shingle stands earliest: it has the fewest rare shingles of its own, so
+First every member of a shingle's group meets the heart of its band of sizes, the set in which the shingle stands earliest: it has the fewest rare shingles of its own, so
 of near copies it is the least edited one. This joins groups of near copies without pairing them: of a set's hearts the one with most shingles in common is verified. Then only members of groups that still hold several components meet. Pairs pass a length and
-a positional filter where they are made, and a suffix filter on counts of the sets' shingles in 256 parts (the sum of the lesser counts
-bounds what two sets share) before any text is fetched; then each is verified once on whole texts. Shingles and sets are compared by 64-bit
+a positional filter and a suffix filter on counts of the sets' shingles in 256 parts (the sum of the lesser counts bounds what two sets
+share) before any text is fetched, in the last step within the join itself; then each is verified once on whole texts. Shingles and sets are compared by 64-bit
 hashes of their words' 64-bit hashes.
 
 A text of one to four words is one shingle; an empty or null one has none and links with nothing. Rows of equal doc_id can have other texts; each
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, checkpoint, delete, fresh, table, written
 
-WIDTH, NUM, DEN, CLASSES, PARTS = 5, 75, 100, 1 << 21, 256
+WIDTH, NUM, DEN, CLASSES, PARTS, PLANES = 5, 75, 100, 1 << 21, 256, 48
 RANGE = 1 << 12  # count classes in a block
 TOKENS = 1 << 22  # prefix tokens that a task holds at once
 PER_BUCKET = 1 << 20  # prefix tokens of a bucket, as long as 2**16 buckets are enough
@@ -81,18 +81,31 @@ def slices(batch: pa.RecordBatch, rows: int = 256):
     return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """How many shingles are in each of PARTS parts; none where a part has too many for a byte."""
+def planes(s: np.ndarray) -> list[int] | None:
+    """How many shingles are in each of PARTS parts, as bits: the k-th PARTS bits tell which parts have k or more. None for sets that need more than PLANES."""
     n = np.bincount(s & (PARTS - 1), minlength=PARTS)
-    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+    most = int(n.max(initial=0))
+    if most > PLANES:
+        return None
+    return np.packbits(n[None, :] >= np.arange(1, most + 1)[:, None], axis=1).reshape(-1).view("<i8").tolist()
+
+
+def shared_at_most(x: Column, y: Column) -> Column:
+    """What two sets can share at most: the sum over parts of the lesser count, which is what their planes have in common."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.coalesce(F.bit_count(a.bitwiseAND(b)), F.lit(0))), F.lit(0), lambda t, v: t + v)
+
+
+def suffix_passes(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
+    """The suffix filter; sets without planes pass."""
+    return pa_.isNull() | pb.isNull() | ((DEN + NUM) * shared_at_most(pa_, pb) >= NUM * (na + nb))
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, k, n, sig (of the whole set) and sketch of each row of keyed docs, and besides, rows with at and counts: each task's counts by range of classes."""
+    """doc_id, k, n, sig (of the whole set) and planes of each row of keyed docs, and besides, rows with at and counts: each task's counts by range of classes."""
 
     def run(batches):
         total = np.zeros(CLASSES, np.uint32)
-        names = ["doc_id", "k", "n", "sig", "sketch", "at", "counts"]
+        names = ["doc_id", "k", "n", "sig", "planes", "at", "counts"]
         kind = None
         for whole in batches:
             kind = whole.schema.field("doc_id").type
@@ -101,15 +114,15 @@ def described(docs: DataFrame) -> DataFrame:
                 np.add.at(total, flat & (CLASSES - 1), np.uint32(1))
                 parts = [flat[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
                 sig = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in parts], np.uint64).view(np.int64)
-                cols = [b.column("doc_id"), b.column("k"), pa.array(np.diff(at)), pa.array(sig), pa.array([sketch(x) for x in parts], pa.binary()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())]
+                cols = [b.column("doc_id"), b.column("k"), pa.array(np.diff(at)), pa.array(sig), pa.array([planes(x) for x in parts], pa.list_(pa.int64())), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names)
         blocks = [(i, total[i * RANGE : (i + 1) * RANGE]) for i in range(CLASSES // RANGE)]
         blocks = [(i, x.astype(np.uint8) if x.max() < 256 else x) for i, x in blocks if x.any()]
         if blocks:
             m = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), *[pa.nulls(m, pa.int64())] * 3, pa.nulls(m, pa.binary()), pa.array([i for i, _ in blocks], pa.int32()), pa.array([x.tobytes() for _, x in blocks], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), *[pa.nulls(m, pa.int64())] * 3, pa.nulls(m, pa.list_(pa.int64())), pa.array([i for i, _ in blocks], pa.int32()), pa.array([x.tobytes() for _, x in blocks], pa.binary())], names)
 
-    return docs.select("doc_id", "k", "text").mapInArrow(run, "doc_id long, k long, n long, sig long, sketch binary, at int, counts binary")
+    return docs.select("doc_id", "k", "text").mapInArrow(run, "doc_id long, k long, n long, sig long, planes array<long>, at int, counts binary")
 
 
 def class_counts(base: DataFrame) -> np.ndarray:
@@ -167,21 +180,30 @@ def possible(na, pa_, nb, pb):
 
 
 def met(h, id_, n, p) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Which tokens go on (those alone and the heart of each group), and rows h, id, n, p, heart, ok of the groups of two sets or more."""
+    """Which tokens go on (those alone and the hearts of each group), and rows h, id, n, p, heart, ok of the groups of two sets or more.
+
+    A group has a heart for each band of sizes that can be alike at all, in two rows of bands that overlap by half."""
     o = np.argsort(h, kind="stable")
     same = h[o][1:] == h[o][:-1]
     many = np.r_[False, same] | np.r_[same, False] if len(o) else np.zeros(0, bool)
     alone, o = o[~many], o[many]
     o = o[np.lexsort((id_[o], n[o], p[o], h[o]))]
     o = o[np.r_[True, (h[o][1:] != h[o][:-1]) | (id_[o][1:] != id_[o][:-1])]] if len(o) else o
-    start = np.flatnonzero(np.r_[True, h[o][1:] != h[o][:-1]]) if len(o) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[start, len(o)])
-    heart = np.repeat(o[start], size)
-    row = np.repeat(size > 1, size)
-    a, b = o[row], heart[row]
-    n64 = n.astype(np.int64)
-    ok = (a != b) & possible(n64[a], p[a], n64[b], p[b])
-    return np.r_[alone, o[start]], [h[a], id_[a], n[a], p[a], id_[b], ok]
+    new = np.r_[True, h[o][1:] != h[o][:-1]] if len(o) else np.zeros(0, bool)
+    group = np.cumsum(new) - 1
+    several = (np.bincount(group) > 1)[group] if len(o) else np.zeros(0, bool)
+    n64, level, hearts = n.astype(np.int64), np.log(np.maximum(n[o], 1)) / np.log(DEN / NUM), []
+    for shift in (0.0, 0.5):
+        band = np.floor(level + shift).astype(np.int64)
+        q = np.lexsort((np.arange(len(o)), band, group))
+        first = np.r_[True, (group[q][1:] != group[q][:-1]) | (band[q][1:] != band[q][:-1])] if len(o) else np.zeros(0, bool)
+        heart = np.empty(len(o), np.int64)
+        heart[q] = q[first][np.cumsum(first) - 1]
+        hearts.append(o[heart])
+    alike = [(o != x) & possible(n64[o], p[o], n64[x], p[x]) for x in hearts]
+    more = several & alike[1] & (hearts[0] != hearts[1])
+    a, b = np.r_[o[several], o[more]], np.r_[hearts[0][several], hearts[1][more]]
+    return np.unique(np.r_[alone, *hearts]), [h[a], id_[a], n[a], p[a], id_[b], np.r_[alike[0][several], alike[1][more]]]
 
 
 def shared_tokens(docs: DataFrame, counts: np.ndarray, tokens: int) -> DataFrame:
@@ -253,21 +275,16 @@ def shared_tokens(docs: DataFrame, counts: np.ndarray, tokens: int) -> DataFrame
     return dealt.mapInArrow(gather, "h long, id long, n int, p int, heart long, ok boolean")
 
 
+def profiles(base: DataFrame) -> DataFrame:
+    """sig, n and planes of each set."""
+    return base.where("k IS NOT NULL").select("sig", "n", "planes").dropDuplicates(["sig"])
+
+
 def near(pairs: DataFrame, base: DataFrame) -> DataFrame:
     """The pairs (a, b) of sigs that the suffix filter lets through."""
-
-    def run(batches):
-        for b in batches:
-            good = []
-            for n, m, x, y in zip(*(b.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True):
-                most = int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum()) if x and y else min(n, m)
-                good.append((DEN + NUM) * most >= NUM * (n + m))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    own = base.where("k IS NOT NULL").select("sig", "n", "sketch").dropDuplicates(["sig"])
-    side = lambda v: own.select(F.col("sig").alias(v), F.col("n").alias(f"n{v}"), F.col("sketch").alias(f"s{v}"))
+    side = lambda v: profiles(base).select(F.col("sig").alias(v), F.col("n").alias(f"n{v}"), F.col("planes").alias(f"p{v}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b")
-    return full.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return full.where(suffix_passes(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
@@ -311,6 +328,11 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def in_components(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """rows with c, the component of their id: itself where it has no link."""
+    return rows.join(part.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and k, by which rows are told apart; only rows that are equal in all columns share it."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(*docs.columns).alias("k"))
@@ -332,21 +354,23 @@ def grouped(docs: DataFrame, unnamed: bool) -> tuple[DataFrame, DataFrame]:
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     # of each set's hearts the one that it shares most tokens with
     stars = shared.where("ok").groupBy("id", "heart").agg(F.count("*").alias("both"))
-    stars = stars.groupBy("id").agg(F.max_by("heart", F.struct("both", "heart")).alias("heart")).select(*pair("id", "heart")).distinct()
-    first = checkpoint(near(stars, base))
+    first = stars.groupBy("id").agg(F.max_by("heart", F.struct("both", "heart")).alias("heart")).select(*pair("id", "heart")).distinct()
+    first = checkpoint(near(first, base))
     links = checkpoint(verified(first, docs, heads))
     part = components(links)
-    tagged = shared.select("h", "id", "n", "p").distinct().join(part.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    tagged, tagged_path = written(tagged)
-    delete(spark, shared_path)
+    rows = shared.select("h", "id", "n", "p").distinct()
+    tagged = in_components(rows, part)
     mixed = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
     open_ = tagged.join(mixed, "h")
+    open_, open_path = written(open_.join(profiles(base).select(F.col("sig").alias("id"), "planes"), "id"))
+    delete(spark, shared_path)
     # the shorter first; those already joined don't meet again
     s, t = F.col("s.n").cast("long"), F.col("t.n").cast("long")
     meet = (F.col("s.h") == F.col("t.h")) & (F.col("s.c") != F.col("t.c")) & (F.struct("s.n", "s.id") < F.struct("t.n", "t.id")) & possible(s, F.col("s.p"), t, F.col("t.p"))
+    meet = meet & suffix_passes(s, F.col("s.planes"), t, F.col("t.planes"))
     more = open_.alias("s").join(open_.alias("t"), meet).select(*pair("s.id", "t.id")).distinct()
-    second = checkpoint(verified(near(more.join(first, ["a", "b"], "left_anti"), base), docs, heads))
-    delete(spark, tagged_path)
+    second = checkpoint(verified(more.join(first, ["a", "b"], "left_anti"), docs, heads))
+    delete(spark, open_path)
     whole = components(links.unionByName(second))
     of = heads.join(whole.withColumnRenamed("v", "sig"), "sig", "left").select("sig", "head", F.coalesce("c", "sig").alias("c"))
     best = of.groupBy("c").agg(F.min("head").alias("best"))
