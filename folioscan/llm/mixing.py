@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, table, written
 
 BLOCK, CAP, WEIGHTS, SEED = 32, 3, (5, 2, 1), 11
 SHARD = 2000  # rows in a shard, about: shards follow from the data alone, so reruns agree under any setting of the session
@@ -66,15 +66,18 @@ def mix(docs: DataFrame, *carried: Column) -> DataFrame:
     """doc_id, source, the `carried` columns, size, source_size, target and taken (words): a row for each of docs."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sizes = docs.select("doc_id", "source", *carried, size.alias("size"), F.xxhash64(*docs.columns).alias("_hash"))
-    by_source = targets(sizes)
+    # sizes are counted once, for targets and shards; what is carried, texts say, is read again at the end
+    narrow, _ = written(sizes.select("doc_id", "source", "size", "_hash"))
+    sizes = sizes if carried else narrow
+    by_source = targets(narrow)
     shards = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / SHARD).cast("int"))
     few = by_source.withColumn("shards", shards).withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy()) / BLOCK).cast("long")).withColumn("one", F.lit(1))
     few = apportion(few, "target", "blocks", ["one"], ["source"]).withColumnRenamed("quota", "source_quota")
     # as many rows as sources: a handful, whatever the input
     few = few.select(F.col("source").alias("_source"), F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).alias("_no"), "source_size", "target", "shards", "source_quota")
-    own = sizes.join(F.broadcast(few), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    own = own.withColumn("shard", F.pmod(F.xxhash64("_hash", F.lit(SEED + 1)), F.col("shards")).cast("int"))
-    per = own.groupBy("_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
+    dealt = lambda rows: rows.join(F.broadcast(few), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("shard", F.pmod(F.xxhash64("_hash", F.lit(SEED + 1)), F.col("shards")).cast("int"))
+    own = dealt(sizes)
+    per = dealt(narrow).groupBy("_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     quotas = apportion(per.where("shard_size > 0"), "shard_size", "source_quota", ["_no"], ["shard"])
     quotas = quotas.select("_no", "shard", "shard_size", F.least(F.col("quota") * BLOCK, F.col("shard_size") * CAP).alias("words"))
     w = Window.partitionBy("_no", "shard").orderBy(F.xxhash64("_hash", F.lit(SEED)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
