@@ -188,9 +188,32 @@ def test_fingerprints(spark, tmp_path, empty):
     assert list(r) == [True, True, True]
 
 
-def test_fixity(spark):
-    pages = spark.createDataFrame([(i, f"u{i}", "x" * (i % 50)) for i in range(700)], "page_id long, url string, html string")
-    other = pages.withColumn("html", F.when(F.col("page_id").isin(5, 333), F.lit("?").cast("string")).otherwise(F.col("html")))
-    same = pages.withColumn("html", F.when(F.col("page_id") == 333, F.concat(F.lit("y"), F.substr("html", F.lit(2)))).otherwise(F.col("html")))
-    assert [r.page_id for r in warc_fixity.audit(warc_fixity.records(pages, 3), warc_fixity.records(same, 3)).collect()] == [333]
-    assert {5, 333} <= {r.page_id for r in warc_fixity.audit(warc_fixity.records(pages, 3), warc_fixity.records(other, 3)).collect()}
+def test_fixity(spark, tmp_path):
+    W = warc_fixity
+    rows = [(i if i % 10 else None, f"u{i}", "x" * (i % 50) if i % 7 else None) for i in range(1, 900)] + [(5000, "u", "same")] * 40
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    own = W.placed(pages, 3)
+    text = F.coalesce("html", F.lit(""))
+    r = lambda h: W.measured(F.col("page_id"), F.col("url"), h)
+    left = W.laid_out(own)
+    longer = own.select("file", "place", F.when(F.col("page_id") == 333, r(F.concat(text, F.lit("yy")))).otherwise(F.col("r")).alias("r"))
+    got = W.audit(left, W.laid_out(longer)).collect()
+    assert [(x.kind, x.page_id, x.replica_length - x.length) for x in got] == [("resized", 333, 2)]
+    lost = own.where("page_id IS NULL OR page_id NOT IN (11, 512)").select("file", "place", F.when(F.col("page_id") == 77, r(F.translate(text, "x", "z"))).otherwise(F.col("r")).alias("r"))
+    got = {(x.kind, x.page_id) for x in W.audit(left, W.laid_out(lost)).collect()}
+    assert got == {("missing", 11), ("missing", 512)} | ({("changed", 77)} if 77 % 7 else set())
+    assert W.audit(left, left).count() == 0 and W.audit(left.limit(0), left.limit(0)).count() == 0
+    assert {x.kind for x in W.audit(left, left.where("file != 1")).collect()} == {"missing"}
+    assert left.where("page_id = 5000").first().copies == 40
+    W.write(pages, 3, f"{tmp_path}/warc")
+    back = W.read(spark, f"{tmp_path}/warc")
+    assert back.count() == len(rows) and back.agg(F.sum("length")).first()[0] == left.agg(F.sum(F.col("length") * F.col("copies"))).first()[0]
+    assert {r.sha256 for r in back.select("sha256").collect()} == {r.sha256 for r in left.select("sha256").collect()}
+    assert [x[0] for x in W.parsed(b"no record")] == [None]
+
+
+def test_fixity_query(spark, tmp_path):
+    spark.createDataFrame([(i, f"u{i}", f"page {i}") for i in range(2500)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.kind, r.page_id if r.page_id is not None else r.replica_page_id) for r in warc_fixity.op8_warc_fixity(spark, str(tmp_path)).collect()}
+    kind = lambda i: "missing" if i % 211 == 0 else "extra" if i % 401 == 0 else "resized" if i % 307 == 0 else "changed" if i % 101 == 0 else None
+    assert got == {(kind(i), i) for i in range(2500) if kind(i)}
