@@ -41,6 +41,11 @@ def with_candidate_features(candidates: DataFrame) -> DataFrame:
     )
 
 
+def featured(candidates: DataFrame, routed: DataFrame) -> DataFrame:
+    """with_candidate_features() of the routed documents' candidates alone."""
+    return with_candidate_features(candidates.join(small(routed.select("doc_id").distinct()), "doc_id", "left_semi"))
+
+
 def get_candidates(questions: DataFrame, candidates: DataFrame) -> DataFrame:
     """qid, doc_pos and the candidates of each question's documents; a document named twice comes twice."""
     asked = questions.select("qid", F.posexplode("doc_ids").alias("doc_pos", "doc_id"))
@@ -227,12 +232,15 @@ def best(rows: DataFrame, option_k: int = 6, question_k: int = 14, by: tuple[str
 
 
 def retrieve(questions: DataFrame, docs: DataFrame, candidates: DataFrame, lexicon: DataFrame, option_k: int = 6, question_k: int = 14, doc_k: int = 16, include_options: bool = True) -> DataFrame:
-    """The best evidence of each question (label null) and option: route, score, rank. candidates: with_candidate_features()."""
-    features = with_features(questions, lexicon)
+    """The best evidence of each question (label null) and option: route, score, rank.
+
+    What is kept meanwhile is of the size of the batch of questions: their features, and a row for each question and routed document."""
+    features = with_features(questions, lexicon).persist()
     queries = question_queries(features)
     if include_options:
         queries = queries.unionByName(option_queries(features))
-    return best(scored(route(questions, docs, candidates, doc_k), features, with_query_features(queries), candidates), option_k, question_k)
+    routed = route(questions, docs, with_candidate_features(candidates), doc_k).persist()
+    return best(scored(routed, features, with_query_features(queries).persist(), featured(candidates, routed)), option_k, question_k)
 
 
 def merged(first: DataFrame, more: DataFrame, limit: int, by: tuple[str, ...] = ("qid", "label")) -> DataFrame:

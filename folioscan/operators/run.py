@@ -82,14 +82,15 @@ def judged(features: DataFrame, routed: DataFrame, rows: DataFrame, judge: Judge
 RESULT = ("qid", "domain", "answer_norm", "status", "all_warnings", "needs_review", "valid_status", "problems", "judgement", "evidence", "candidate_docs", "round")
 
 
-def answered(questions: DataFrame, docs: DataFrame, candidates: DataFrame, lexicon: DataFrame, judge: Judge = no_judge, config: Config = Config(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:  # noqa: B008
+def answered(questions: DataFrame, docs: DataFrame, candidates: DataFrame, lexicon: DataFrame, judge: Judge = no_judge, config: Config = Config(), keep: Callable[[DataFrame], DataFrame] = lambda df: df.persist()) -> DataFrame:  # noqa: B008
     """The result of every question. After the first round those that more evidence may mend are searched again with wider queries, up to repair_rounds times.
 
-    candidates: with_candidate_features(). keep writes a round's rows down between rounds (say to Parquet); by default they are planned anew."""
-    features = Q.with_features(questions, lexicon)
-    own = Q.option_queries(features)
-    queries = Q.with_query_features(Q.question_queries(features).unionByName(own))
-    routed = retrieve.route(questions, docs, candidates, config.doc_k)
+    keep holds a round's rows for the next: by default they are persisted; a long run passes a function that writes and reads a table."""
+    features = keep(Q.with_features(questions, lexicon))
+    own = keep(Q.option_queries(features))
+    queries = keep(Q.with_query_features(Q.question_queries(features).unionByName(own)))
+    routed = keep(retrieve.route(questions, docs, retrieve.with_candidate_features(candidates), config.doc_k))
+    candidates = keep(retrieve.featured(candidates, routed))
     rows = keep(retrieve.best(retrieve.scored(routed, features, queries, candidates), config.option_k, config.question_k))
     now = keep(judged(features, routed, rows, judge, config).withColumn("round", F.lit(0)))
     out = now.select(*RESULT)

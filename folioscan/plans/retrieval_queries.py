@@ -11,7 +11,8 @@ KEY = ["qid", F.coalesce("label", F.lit("")).alias("label"), "candidate_id"]
 
 
 def _features(spark, sf_dir, given):
-    return Q.with_features(A.questions(spark, sf_dir, given), A.lexicon(spark))
+    """The features of one batch of questions, kept: much is derived from them."""
+    return Q.with_features(A.questions(spark, sf_dir, given), A.lexicon(spark)).persist()
 
 
 def _units(spark, sf_dir):
@@ -74,10 +75,10 @@ def routing_scores(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, given=True):
-    f, u = _features(spark, sf_dir, given), _units(spark, sf_dir)
-    queries = Q.with_query_features(Q.question_queries(f).unionByName(Q.option_queries(f)))
-    routed = retrieve.route(A.questions(spark, sf_dir, given), A.docs(spark, sf_dir), u)
-    return retrieve.scored(routed, f, queries, u)
+    f = _features(spark, sf_dir, given)
+    queries = Q.with_query_features(Q.question_queries(f).unionByName(Q.option_queries(f))).persist()
+    routed = retrieve.route(A.questions(spark, sf_dir, given), A.docs(spark, sf_dir), _units(spark, sf_dir)).persist()
+    return retrieve.scored(routed, f, queries, retrieve.featured(A.candidates(spark, sf_dir), routed))
 
 
 def _component(name):
@@ -122,15 +123,16 @@ def retrieve_option_topk(spark, sf_dir):
 
 def retrieve_question_topk(spark, sf_dir):
     """The 14 best candidates of each question: routed to 16 documents, scored by all twelve components, ties in corpus order."""
-    f, u = _features(spark, sf_dir, False), _units(spark, sf_dir)
-    queries = Q.with_query_features(Q.question_queries(f))
-    rows = retrieve.best(retrieve.scored(retrieve.route(A.questions(spark, sf_dir, False), A.docs(spark, sf_dir), u), f, queries, u))
+    f = _features(spark, sf_dir, False)
+    queries = Q.with_query_features(Q.question_queries(f)).persist()
+    routed = retrieve.route(A.questions(spark, sf_dir, False), A.docs(spark, sf_dir), _units(spark, sf_dir)).persist()
+    rows = retrieve.best(retrieve.scored(routed, f, queries, retrieve.featured(A.candidates(spark, sf_dir), routed)))
     return rows.select("qid", "doc_id", "candidate_id", "score", C("rank").cast("long"))
 
 
 def retrieve_all(spark, sf_dir):
     """Routing, scoring and ranking of questions and their options, in one call."""
-    rows = retrieve.retrieve(A.questions(spark, sf_dir, False), A.docs(spark, sf_dir), _units(spark, sf_dir), A.lexicon(spark), doc_k=4)
+    rows = retrieve.retrieve(A.questions(spark, sf_dir, False), A.docs(spark, sf_dir), A.candidates(spark, sf_dir), A.lexicon(spark), doc_k=4)
     return rows.groupBy("qid").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"), F.max("rank").cast("long").alias("last"))
 
 

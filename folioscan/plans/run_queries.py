@@ -1,7 +1,7 @@
 """Whole runs over the driver's tables."""
 from pyspark.sql import functions as F
 
-from folioscan.operators import pack, retrieve, run
+from folioscan.operators import pack, run
 
 from . import adapters as A
 from . import retrieval_queries as R
@@ -10,7 +10,7 @@ C = F.col
 
 
 def _parts(spark, sf_dir):
-    return A.questions(spark, sf_dir, True), A.docs(spark, sf_dir), retrieve.with_candidate_features(A.candidates(spark, sf_dir)), A.lexicon(spark)
+    return A.questions(spark, sf_dir, True), A.docs(spark, sf_dir), A.candidates(spark, sf_dir), A.lexicon(spark)
 
 
 def _prior(spark, sf_dir):
