@@ -3,7 +3,7 @@
 A text is the multiset of its `\\n`-separated paragraphs, blank ones included; null counts as the empty
 text. Every paragraph gives two vectors. The strong one is sixteen 32-bit numbers of its SHA-512; sums are
 taken modulo 2**32. The soft one counts the set bits of the 64-bit hashes of the paragraph's neighbouring
-word pairs, in 60 lanes that are packed three to a number. Sums commute, so the order of paragraphs does
+word pairs, in 60 lanes. Sums commute, so the order of paragraphs does
 not matter, and `combine` inserts or deletes paragraphs without the rest of the text. Equal texts have
 equal fingerprints; the likeness of two is the cosine of their soft vectors about the mean, not below 0.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, table, words
+from .common import NO_ID, let, table, words
 
 STRONG, MOD, SHIFTS, FIELD = 16, 1 << 32, 20, 20
 MASK = 1 | 1 << FIELD | 1 << 2 * FIELD
@@ -28,11 +28,16 @@ def strong(paragraphs: Column) -> Column:
 
 
 def soft(paragraphs: Column) -> Column:
-    """[number of pairs, packed lane sums...]."""
+    """[number of pairs, 60 lanes]: how many pairs' hashes have each of 60 bits.
+
+    Three lanes are summed in one number as long as none can pass FIELD bits; beyond that many pairs each lane is summed by itself."""
     pairs = lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    hashes = F.flatten(F.transform(paragraphs, lambda p: F.transform(F.array(words(p)), pairs)[0]))
-    lane = lambda h, k: F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + F.shiftright(x, k).bitwiseAND(F.lit(MASK)))
-    return F.transform(F.array(hashes), lambda h: F.array(F.size(h).cast("long"), *[lane(h, k) for k in range(SHIFTS)]))[0]
+    hashes = F.flatten(F.transform(paragraphs, lambda p: let(words(p), pairs)))
+    total = lambda h, k, mask: F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + F.shiftright(x, k).bitwiseAND(F.lit(mask)))
+    parts = lambda s: F.array(*[F.shiftright(s, at * FIELD).bitwiseAND(F.lit((1 << FIELD) - 1)) for at in range(3)])
+    packed = lambda h: F.flatten(F.array(*[let(total(h, k, MASK), parts) for k in range(SHIFTS)]))
+    single = lambda h: F.array(*[total(h, k + at * FIELD, 1) for k in range(SHIFTS) for at in range(3)])
+    return let(hashes, lambda h: F.concat(F.array(F.size(h).cast("long")), F.when(F.size(h) < 1 << FIELD, packed(h)).otherwise(single(h))))
 
 
 def fingerprint(text: Column) -> Column:
@@ -54,10 +59,7 @@ def digest(f: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1; 1 for two without words, 0 where one alone has none."""
 
-    def lanes(s: Column) -> Column:
-        one = lambda i, at: (2 * F.shiftright(s[i], at * FIELD).bitwiseAND(F.lit((1 << FIELD) - 1)) - s[0]).cast("double")
-        return F.array(*[one(i, at) for i in range(1, SHIFTS + 1) for at in range(3)])
-
+    lanes = lambda s: F.transform(F.slice(s, 2, 3 * SHIFTS), lambda x: (2 * x - s[0]).cast("double"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
     of = lambda x, y: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(dot(x, y), F.sqrt(dot(x, x) * dot(y, y))), F.lit(0.0))))
     both = F.transform(F.array(F.struct(lanes(a.soft).alias("x"), lanes(b.soft).alias("y"))), lambda v: of(v.x, v.y))[0]

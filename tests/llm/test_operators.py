@@ -188,6 +188,16 @@ def test_fingerprints(spark, tmp_path, empty):
     assert list(r) == [True, True, True]
 
 
+def test_likeness_of_very_long_texts(spark):
+    """More word pairs than a packed lane can count: likeness is as for short texts."""
+    x = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1_100_000)), lambda i: F.concat(F.lit("w"), (i % 5000).cast("string"))), " ")
+    y = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1_100_000)), lambda i: F.concat(F.lit("v"), (i % 5000).cast("string"))), " ")
+    part = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(50_000)), lambda i: F.concat(F.lit("w"), (i % 5000).cast("string"))), " ")
+    f = spark.range(1).select(fingerprints.fingerprint(x).alias("x"), fingerprints.fingerprint(y).alias("y"), fingerprints.fingerprint(part).alias("p"))
+    r = f.select(F.col("x.soft")[0].alias("n"), fingerprints.likeness(F.col("x"), F.col("p")).alias("same"), fingerprints.likeness(F.col("x"), F.col("y")).alias("other")).first()
+    assert r.n == 1_100_001 and r.same > 0.99 and r.other < 0.5
+
+
 def test_fixity(spark, tmp_path):
     W = warc_fixity
     rows = [(i if i % 10 else None, f"u{i}", "x" * (i % 50) if i % 7 else None) for i in range(1, 900)] + [(5000, "u", "same")] * 40
