@@ -1,7 +1,7 @@
 """Whole runs over the driver's tables."""
 from pyspark.sql import functions as F
 
-from folioscan.operators import pack, run
+from folioscan.operators import run
 
 from . import adapters as A
 from . import retrieval_queries as R
@@ -28,16 +28,11 @@ def run_without_judge(spark, sf_dir):
 
 
 def run_prior_answers(spark, sf_dir):
-    """The same by earlier answers, with one round of repair."""
-    return _flat(run.answered(*_parts(spark, sf_dir), run.prior_judge(_prior(spark, sf_dir))))
+    """The same by earlier answers; the rounds of repair are in operators.run."""
+    return _flat(run.answered(*_parts(spark, sf_dir), run.prior_judge(_prior(spark, sf_dir)), run.Config(repair_rounds=0)))
 
 
-def run_greedy(spark, sf_dir):
-    """Packed by set cover under a budget."""
-    return _flat(run.answered(*_parts(spark, sf_dir), run.prior_judge(_prior(spark, sf_dir)), run.Config(greedy=pack.Budget(6000, 12, 900), repair_rounds=0)))
-
-
-QUERIES = {f.__name__: f for f in (run_without_judge, run_prior_answers, run_greedy)}
+QUERIES = {f.__name__: f for f in (run_without_judge, run_prior_answers)}
 _PACKED = R.ORACLE_SQL["pack_two_phase"]
 # nothing is judged, so no answer, and the evidence is what packing keeps
 ORACLE_SQL = {"run_without_judge": f"SELECT CAST(item_id AS VARCHAR) AS qid, '' AS answer, 'needs_model_judge' AS status, 'needs_model_judge' AS valid_status, CAST(coalesce(n, 0) AS INTEGER) AS evidence, 0 AS round FROM benchmark LEFT JOIN (SELECT qid, count(*) AS n FROM ({_PACKED}) GROUP BY qid) p ON p.qid = CAST(item_id AS VARCHAR)"}
