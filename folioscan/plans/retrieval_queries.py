@@ -7,7 +7,10 @@ from folioscan.operators import question as Q
 from . import adapters as A
 
 C = F.col
-KEY = ["qid", F.coalesce("label", F.lit("")).alias("label"), "candidate_id"]
+
+
+def _key():
+    return ["qid", F.coalesce("label", F.lit("")).alias("label"), "candidate_id"]
 
 
 def _features(spark, sf_dir, given):
@@ -83,7 +86,7 @@ def _scored(spark, sf_dir, given=True):
 
 def _component(name):
     def query(spark, sf_dir):
-        return _scored(spark, sf_dir).select(*KEY, f"{name}_score")
+        return _scored(spark, sf_dir).select(*_key(), f"{name}_score")
 
     query.__name__ = f"score_{name}"
     query.__doc__ = f"The {name} component of every query's candidates."
@@ -91,13 +94,13 @@ def _component(name):
 
 
 def score_full(spark, sf_dir):
-    return _scored(spark, sf_dir).select(*KEY, "score")
+    return _scored(spark, sf_dir).select(*_key(), "score")
 
 
 def score_matches(spark, sf_dir):
     """What each score rests on."""
     cols = ("matched_tokens", "matched_numbers", "matched_years", "matched_clauses", "matched_option_phrases", "matched_domain_terms")
-    return _scored(spark, sf_dir).select(*KEY, *[F.array_join(c, "|").alias(c) for c in cols])
+    return _scored(spark, sf_dir).select(*_key(), *[F.array_join(c, "|").alias(c) for c in cols])
 
 
 def score_ablation(spark, sf_dir):
@@ -109,7 +112,7 @@ def score_seed(spark, sf_dir):
     f = _features(spark, sf_dir, True)
     u = retrieve.with_candidate_features(A.candidates(spark, sf_dir).withColumn("section_title", F.lit(""))).withColumn("source", F.when(C("reading_order") % 2 == 0, "selector").otherwise("raw"))
     routed = retrieve.route(A.questions(spark, sf_dir, True), A.docs(spark, sf_dir), u)
-    return retrieve.seed_scored(routed, Q.with_query_features(Q.option_queries(f)), u).select(*KEY, "score")
+    return retrieve.seed_scored(routed, Q.with_query_features(Q.option_queries(f)), u).select(*_key(), "score")
 
 
 def _top(spark, sf_dir, given):
