@@ -102,7 +102,7 @@ def token_scores(spark, sf_dir):
 def sliding_chunks(spark, sf_dir):
     """Trimmed windows of whole texts, with their offsets."""
     span = chunk.sliding(C("text"), F.lit(0), F.length("text"), 900, 120)
-    out = A.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(span).alias("chunk_no", "s"))
+    out = A.read(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(span).alias("chunk_no", "s")).where("s IS NOT NULL")
     return out.select("doc_id", C("chunk_no").cast("long"), C("s.start").cast("long").alias("char_start"), C("s.end").cast("long").alias("char_end"), C("s.text").alias("chunk"))
 
 
@@ -110,7 +110,9 @@ def chunk_links(spark, sf_dir):
     """Each chunk's id and those of its neighbours, made from places in the text's own array: no shuffle."""
     span = chunk.sliding(C("text"), F.lit(0), F.length("text"), 900, 120)
     i = C("doc_id").cast("string")
-    own = A.read(spark, sf_dir, "documents").select("doc_id", F.size(span).alias("n")).where("n > 0").select("doc_id", "n", F.explode(F.sequence(F.lit(0), C("n") - 1)).alias("k"))
+    places = T.let(F.size(span), lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.alias("k"), n.alias("n")))))
+    # explode would have the windows made again for a filter on their number
+    own = A.read(spark, sf_dir, "documents").select("doc_id", F.explode_outer(places).alias("x")).where("x IS NOT NULL").select("doc_id", "x.*")
     name = lambda k: F.concat(i, F.lit("::"), F.lpad(k.cast("string"), 6, "0"))
     return own.select("doc_id", name(C("k")).alias("chunk_id"), F.when(C("k") > 0, name(C("k") - 1)).alias("prev_id"), F.when(C("k") + 1 < C("n"), name(C("k") + 1)).alias("next_id"))
 
