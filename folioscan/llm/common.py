@@ -59,11 +59,11 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def count_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    return F.length(text) - F.length(F.translate(text, chars, "") if len(chars) > 1 else F.replace(text, F.lit(chars), F.lit("")))
 
 
-def repeated_words(text: Column, width: int = 8) -> Column:
-    """Words that lie in a window of `width` words found twice or more in the text: O(n log n) for each text."""
+def repeated_words(w: Column, width: int = 8) -> Column:
+    """Of words, those that lie in a window of `width` words found twice or more: O(n log n) for each text, and sorted only where a window repeats."""
 
     def covered(at: Column) -> Column:
         start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end"))
@@ -72,37 +72,49 @@ def repeated_words(text: Column, width: int = 8) -> Column:
 
     def twice(s: Column) -> Column:
         pairs = F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), lambda a, b: F.when(a.h == b.h, F.array(a.p, b.p)))
-        return covered(F.array_sort(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull())))))
+        return covered(F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull())))))
 
-    def windows(w: Column) -> Column:
-        at = F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.struct(F.xxhash64(F.slice(w, i, width)).alias("h"), i.alias("p")))
-        return F.when(F.size(w) < width, F.lit(0)).otherwise(let(F.array_sort(at), twice))
+    def paired(hs: Column, by: int) -> Column:
+        return F.zip_with(F.slice(hs, 1, F.size(hs) - by), F.slice(hs, by + 1, F.size(hs) - by), lambda a, b: F.xxhash64(a, b))
 
-    return let(words(text), windows).cast("long")
+    def repeats(hs: Column, size: int) -> Column:
+        """hs: the hash of each window of `size` words; a longer window's is that of two that cover it. Where no half repeats, no whole does."""
+        if size < width:
+            by = min(size, width - size)
+            out = let(paired(hs, by), lambda x: repeats(x, size + by))
+        else:
+            out = let(F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("p")))), twice)
+        return out if 2 * size < width else F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(out)
+
+    return F.when(F.size(w) < width, F.lit(0)).otherwise(let(F.transform(w, lambda x: F.xxhash64(x)), lambda hs: repeats(hs, 1)))
+
+
+COUNTED = {"n_symbols": "#*$%&|<>", "n_upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "n_digits": "0123456789", "n_ends": ".!?", "n_bangs": "!", "n_commas": ",;", "n_breaks": "\n", "n_bars": "|"}
 
 
 def with_stats(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of each whole text (null: empty); only built-in expressions."""
     t = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", t.alias("text"))
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
-    chars = F.length(F.translate("text", " \t\n\x0b\x0c\r", ""))
-    out = base.select(
+    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    # an array, for Spark would make a struct anew for each of its fields
+    of_words = let(words(F.col("text")), lambda w: F.array(F.size(w), F.length(F.array_join(w, "")), repeated_words(w)))
+    base = base.select(
         "doc_id",
-        F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"),
-        chars.cast("long").alias("word_chars"),
-        count_of(F.col("text"), "#*$%&|<>").cast("long").alias("n_symbols"),
+        of_words.alias("of_words"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("text")).alias("n_repeat_words"),
-        count_of(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),
-        count_of(F.col("text"), "0123456789").cast("long").alias("n_digits"),
-        count_of(F.col("text"), ".!?").cast("long").alias("n_ends"),
-        count_of(F.col("text"), "!").cast("long").alias("n_bangs"),
-        count_of(F.col("text"), ",;").cast("long").alias("n_commas"),
-        count_of(F.col("text"), "\n").cast("long").alias("n_breaks"),
-        count_of(F.col("text"), "|").cast("long").alias("n_bars"),
+        *[count_of(F.col("text"), chars).cast("long").alias(name) for name, chars in COUNTED.items()],
         F.length("text").cast("long").alias("length"),
     )
+    out = base.select(
+        "doc_id",
+        F.col("of_words")[0].cast("long").alias("n_words"),
+        F.col("of_words")[1].cast("long").alias("word_chars"),
+        "n_dup_lines",
+        F.col("of_words")[2].cast("long").alias("n_repeat_words"),
+        *COUNTED,
+        "length",
+    )
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     c = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
     return out.select(

@@ -121,6 +121,23 @@ def test_statistics(docs):
         assert (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(x) - len(set(x)), len(hit))
 
 
+def test_repeated_words_of_random_texts(spark):
+    import random
+
+    draw = random.Random(2)
+    rows = [(i, "".join(x + draw.choice([" ", " ", "\n", "\t "]) for x in draw.choices(["a", "b", "\u00e9\u4e2d", "C9|"][: draw.randint(1, 4)], k=draw.randint(0, 60)))) for i in range(400)]
+    made = with_stats(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r for r in made.collect()}
+    for i, t in rows:
+        w = words(t)
+        at = [tuple(w[j : j + 8]) for j in range(len(w) - 7)]
+        again = {j + k for j, x in enumerate(at) if at.count(x) > 1 for k in range(8)}
+        assert (got[i].n_words, got[i].word_chars, got[i].n_repeat_words) == (len(w), sum(map(len, w)), len(again))
+    # words are cut once for all their statistics
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("split(text") == 2  # words and lines
+
+
 def test_rules():
     rows = [(i, int(i % 10 != 0), 0.9 if i % 10 == 0 else 0.1, (i * 7 % 13) / 13) for i in range(600)]
     rules = quality_rules.learn(rows, ["u", "v"])
