@@ -2,6 +2,7 @@
 
 The hash displaces buckets of keys until each key has a slot of its own; a slot holds the key and id, so a strange pre-token
 is told apart by one comparison. A miss becomes a linked list of bytes; the heap yields the pair of the least rank, leftmost first.
+In a short one the least rank is looked for in a plain list, which is faster than a heap.
 Null counts as the empty text, which has no ids and decodes to no bytes.
 """
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-KEPT = 200_000  # pre-tokens whose ids a worker remembers
+KEPT = 200_000  # pre-tokens whose ids a worker remembers, half of them since the last change of generation
+SHORT, NONE = 64, 1 << 32  # bytes of a short pre-token; above all ranks
 M31, M32, MIX = (1 << 31) - 1, (1 << 32) - 1, 0x9E3779B
 _held: dict = {}
 
@@ -80,6 +83,7 @@ class Codec:
         self.bytes_of = dict(zip(ids, keys, strict=True))
         self.ranks = dict(zip(keys, ids, strict=True))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def rank(self, key: bytes) -> int | None:
         k, i = self.at[self.hash.slot(key)]
@@ -113,12 +117,29 @@ class Codec:
             i = after[i]
         return out
 
-    def piece(self, text: str) -> bytes:
-        raw = text.encode()
+    def merged_short(self, piece: bytes) -> list[int]:
+        rank = self.ranks.get
+        ends = list(range(len(piece) + 1))
+        pairs = [rank(piece[i : i + 2], NONE) for i in range(len(piece) - 1)]
+        while pairs and (least := min(pairs)) < NONE:
+            i = pairs.index(least)
+            del ends[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(piece[ends[i] : ends[i + 2]], NONE)
+            if i:
+                pairs[i - 1] = rank(piece[ends[i - 1] : ends[i + 1]], NONE)
+        return [rank(piece[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+    def found(self, raw: bytes) -> bytes:
         own = self.rank(raw)
-        ids = np.array([own] if own is not None else self.merged(raw), "<u4").tobytes()
-        if len(raw) <= 64:
-            if len(self.known) >= KEPT:
+        ids = [own] if own is not None else self.merged_short(raw) if len(raw) <= SHORT else self.merged(raw)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def piece(self, text: str) -> bytes:
+        ids = self.older.get(text) or self.found(text.encode())
+        if len(text) <= SHORT:
+            if len(self.known) >= KEPT // 2:  # what was used since the last change stays within reach
+                self.older = self.known.copy()
                 self.known.clear()
             self.known[text] = ids
         return ids

@@ -186,6 +186,24 @@ def test_codec(spark, docs, empty):
     assert sum(len(t.encode(p, add_special_tokens=False)) for p in token_counts.parts(text, 100)) == len(t.encode(text, add_special_tokens=False))
 
 
+def test_codec_merges_and_remembers(monkeypatch):
+    import random
+
+    P = pytest.importorskip("public_tokenizers")
+    own, draw = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), random.Random(1)
+    kinds = ["ab", "etaoinshr", "\u00e9\u00fc\u00df\u4e2d", "0123456789", "!-=/ ", "\U0001f600\u0301a"]
+    for _ in range(3000):
+        x = "".join(draw.choices(draw.choice(kinds), k=draw.randint(1, 60))).encode()
+        assert own.merged_short(x) == own.merged(x)
+    monkeypatch.setattr(bpe, "KEPT", 20)
+    merged = []
+    short = own.merged_short
+    monkeypatch.setattr(own, "merged_short", lambda x: merged.append(x) or short(x))
+    text = " qzqzx " + " ".join(f"zqx{a}{b} qzqzx" for a in "abcdefghij" for b in "abcdefghij")
+    assert own.decode(own.encode(text)) == text.encode() and len(own.known) + len(own.older) <= 20
+    assert merged.count(b" qzqzx") == 1  # a pre-token in use isn't forgotten and merged anew
+
+
 def test_fingerprints(spark, tmp_path, empty):
     rows = [(i, t) for i, t, *_ in ROWS]
     for name, df in (("full", spark.createDataFrame(rows, "doc_id long, text string")), ("none", empty.select("doc_id", "text"))):
