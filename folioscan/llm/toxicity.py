@@ -28,7 +28,7 @@ SAMPLE, BYTES = 3000, 1 << 24  # labelled rows and bytes of their texts at most
 BUCKETS, DIM, STEPS, FOLDS = 1 << 16, 8, 60, 3
 RATE, MOMENTUM, RIDGE, CAUTION = 0.1, 0.8, 0.01, 12.0
 SHORTEST = 64
-KEPT = 300_000
+KEPT, PART = 300_000, 256  # words whose scores a worker remembers; rows whose texts it holds as Python strings at once
 RUN, LONGEST = 40, 5  # characters of a word, of an n-gram
 _WORD = re.compile(r"\w+")
 
@@ -159,7 +159,9 @@ def scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         own = Model([], np.zeros(0))
         own.table, own.scale, own.bias, own.usual = held.value
         for b in batches:
-            yield b.append_column(name, pa.array([own.score(x or "") for x in b.column("text").to_pylist()], pa.float64()))
+            for at in range(0, b.num_rows, PART):
+                part = b.slice(at, PART)
+                yield part.append_column(name, pa.array([own.score(x or "") for x in part.column("text").to_pylist()], pa.float64()))
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
 
