@@ -31,3 +31,7 @@ def test_other_texts_are_not_split(spark):
 
 def test_ranked_rows_are_kept(spark):
     assert R._top(spark, "/root/testdata/sf0.001", True).storageLevel.useMemory
+
+
+def test_seed_scores_split_only_given_documents(spark):
+    assert "INSET" in R.score_seed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
