@@ -1,4 +1,5 @@
 """Text of HTML pages: a chain of built-in expressions for well-formed pages, an Arrow function with a real parser for any."""
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,8 +14,8 @@ OPENING = ("p", "br", "div", "section", "article", "tr", "li", "h1", "h2", "h3",
 CLOSING = ("p", "div", "section", "article", "tr", "li", "h1", "h2", "h3", "h4")
 
 
-def stripped(html: Column) -> Column:
-    """The text of a page, a line for each block, blank lines left out; entities are decoded twice, as the line join and clean both do.
+def stripped(html: Column, bare: tuple[str, ...] | None = None) -> Column:
+    """The text of a page, a line for each block, blank lines left out; entities are decoded twice, as the line join and clean both do; `bare` as in unescape().
 
     For pages without > inside attribute values and with closed scripts; other ones need parsed()."""
     out = F.coalesce(html, F.lit(""))
@@ -27,8 +28,8 @@ def stripped(html: Column) -> Column:
         (r"<[^>]*>", ""),
     ):
         out = F.regexp_replace(out, pattern, new)
-    lines = F.regexp_replace(T.unescape(out), r"(?U)\s*[\n\r\x0B\f\x1c-\x1e\x85  ]\s*", "\n")
-    return T.clean(lines)
+    lines = F.regexp_replace(T.unescape(out, bare), r"(?U)\s*[\n\r\x0B\f\x1c-\x1e\x85  ]\s*", "\n")
+    return T.clean(lines, bare)
 
 
 class _Lines(HTMLParser):
@@ -51,20 +52,24 @@ class _Lines(HTMLParser):
             self.parts.append(data)
 
 
-def text_of(html: str | None) -> str:
+def text_of(html: str | None, bare: tuple[str, ...] | None = None) -> str:
+    """The parser decodes every reference with or without a semicolon; with `bare`, those of other names without one are kept as they are."""
+    kept = html or ""
+    if bare is not None:
+        kept = re.sub(rf"&(?!(?:{'|'.join(bare) or '(?!)'})(?![A-Za-z0-9]))(?=[A-Za-z][A-Za-z0-9]*+(?!;))", "&amp;", kept)
     p = _Lines()
-    p.feed(html or "")
+    p.feed(kept)
     return "\n".join(x for line in "".join(p.parts).splitlines() if (x := line.strip()))
 
 
-@F.pandas_udf(StringType())
-def _parsed(pages: pd.Series) -> pd.Series:
-    return pages.map(text_of)
+def parsed(html: Column, bare: tuple[str, ...] | None = None) -> Column:
+    """As stripped(), for any page, by a parser in Arrow batches."""
 
+    @F.pandas_udf(StringType())
+    def of(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda x: text_of(x, bare))
 
-def parsed(html: Column) -> Column:
-    """As stripped(), for any page, by a parser in Arrow batches."""
-    return T.clean(_parsed(html))
+    return T.clean(of(html), bare)
 
 
 def meta(html: Column, name: str) -> Column:
@@ -79,11 +84,11 @@ BODIES = (
 )
 
 
-def article(html: Column) -> Column:
+def article(html: Column, bare: tuple[str, ...] | None = None) -> Column:
     """Title and date of the meta tags, then the text of the article's body, or of the whole page."""
     body = F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in BODIES], html)
     head = F.array_join(F.filter(F.array(meta(html, "ArticleTitle"), meta(html, "PubDate")), lambda x: x != ""), "\n")
-    return T.strip(F.concat(F.when(head != "", F.concat(head, F.lit("\n"))).otherwise(""), stripped(body)))
+    return T.strip(F.concat(F.when(head != "", F.concat(head, F.lit("\n"))).otherwise(""), stripped(body, bare)))
 
 
 def title(html: Column) -> Column:

@@ -108,3 +108,12 @@ def test_articles_pages_and_html(spark):
     r = df.select(chunk.split_articles(F.col("t"), 30, 5).alias("a"), chunk.pages(F.col("p")).alias("p"), html.parsed(F.col("h")).alias("h")).first()
     assert [x.article for x in r.a] == [None, "第一条", "第二条", "第二条"] and r.a[1].text == "第一条 甲"
     assert [tuple(x) for x in r.p] == [(1, 12, 15), (3, 27, 29)] and r.h == "A & B\nC\nD"
+
+
+def test_bare_entities(spark):
+    """&quot without a semicolon, as at a cut, stays in the queries on pages, as in their SQL; by default it is decoded, as a browser does."""
+    page = '<p>token = &quot</p><p>a &amp b &quot;c&quot; &am &amp;quot &amp;amp;</p>'
+    df = spark.createDataFrame([(page,)], "h string").withColumn("h", F.col("h"))
+    r = df.select(html.stripped(F.col("h"), ("amp",)).alias("s"), html.parsed(F.col("h"), ("amp",)).alias("p"), html.article(F.col("h"), ("amp",)).alias("a"), html.stripped(F.col("h")).alias("all"), html.parsed(F.col("h")).alias("pall")).first()
+    assert r.s == r.p == r.a == 'token = &quot\na & b "c" &am &quot &'
+    assert r["all"] == r.pall == 'token = "\na & b "c" &am " &'
